@@ -1,0 +1,23 @@
+"""The pN_ queries over the test tables, each over its whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.tables import read_table
+from . import leaks, spans
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "eval_item", "item_id", "text"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_pairs(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_share(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p9_found, p10_found, p10_share)}

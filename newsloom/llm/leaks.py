@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from . import codes
 
@@ -60,7 +61,7 @@ def _fingerprints(id_column: str, min_shared: int, k: int, only: np.ndarray | No
     return run
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _shared(a: pd.Series, b: pd.Series, at_end: pd.Series) -> pd.Series:
     """Characters that a and b share at their end or their start."""
     out = []
@@ -86,7 +87,6 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_shared: int = MIN_SHA
     """
     if not 0 < k <= min_shared:
         raise ValueError("k must lie between 1 and min_shared")
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     tests = items.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     right = tests.mapInArrow(_fingerprints("item_id", min_shared, k, None), _HITS.format(id="item_id"))
@@ -100,5 +100,4 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_shared: int = MIN_SHA
     right = right.select("fingerprint", "gram", "item_id", F.col("before").alias("item_before"), F.col("after").alias("item_after"))
     hits = left.join(right, ["fingerprint", "gram"]).dropDuplicates(["doc_id", "item_id", "before", "gram", "after", "item_before", "item_after"])
     extended = F.length("gram") + _shared("before", "item_before", F.lit(True)) + _shared("after", "item_after", F.lit(False))
-    del spark
     return hits.where(extended >= min_shared).select("doc_id", "item_id").distinct()

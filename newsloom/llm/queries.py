@@ -5,7 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import leaks, spans
+from . import canonical, leaks, main_text, near_duplicates, repeated_lines, spans
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "article_page", "news_id", "article", "opinions")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "raw_news", "idx", "company_id", "raw_xml")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(_articles(spark, sf_dir))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(_articles(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.found_lines(_pages(spark, sf_dir))
+
+
+def p2_freed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.freed_pages(_pages(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.affected_fields(_articles(spark, sf_dir))
+
+
+def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.canonical_fields(_articles(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_line_hashes(_pages(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,4 +56,6 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p10_found, p10_share)}
+QUERIES = {
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_freed, p5_found, p5_canonical, p6_found, p9_found, p10_found, p10_share)
+}

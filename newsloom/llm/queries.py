@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import canonical, leaks, main_text, near_duplicates, repeated_lines, spans
+from . import canonical, leaks, main_text, near_duplicates, packing, repeated_lines, sentences, spans
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p2_freed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.freed_pages(_pages(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_boundaries(_articles(spark, sf_dir))
+
+
+def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(_articles(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.affected_fields(_articles(spark, sf_dir))
 
@@ -44,6 +52,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_line_hashes(_pages(spark, sf_dir))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = read_table(spark, sf_dir, "packing_spec", "spec_id", "capacity_tokens")
+    return packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), specs)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, sf_dir), read_table(spark, sf_dir, "packing_spec", "spec_id", "capacity_tokens"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "eval_item", "item_id", "text"))
 
@@ -57,5 +74,6 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_freed, p5_found, p5_canonical, p6_found, p9_found, p10_found, p10_share)
-}
+    f.__name__: f
+    for f in (p1_found, p1_groups, p2_found, p2_freed, p4_found, p4_sentences, p5_found, p5_canonical, p6_found, p8_packed, p8_fill, p9_found, p10_found, p10_share)
+}

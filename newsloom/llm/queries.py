@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import canonical, leaks, main_text, near_duplicates, packing, repeated_lines, sentences, spans
+from . import canonical, leaks, main_text, near_duplicates, packing, repeated_lines, sentences, spans, stories
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_line_hashes(_pages(spark, sf_dir))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stories.story_members(_articles(spark, sf_dir))
+
+
+def p7_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stories.story_clusters(_articles(spark, sf_dir))
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = read_table(spark, sf_dir, "packing_spec", "spec_id", "capacity_tokens")
     return packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), specs)
@@ -75,5 +83,5 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_freed, p4_found, p4_sentences, p5_found, p5_canonical, p6_found, p8_packed, p8_fill, p9_found, p10_found, p10_share)
+    for f in (p1_found, p1_groups, p2_found, p2_freed, p4_found, p4_sentences, p5_found, p5_canonical, p6_found, p7_found, p7_typical, p8_packed, p8_fill, p9_found, p10_found, p10_share)
 }

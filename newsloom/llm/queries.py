@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import canonical, leaks, main_text, near_duplicates, packing, repeated_lines, sentences, spans, stories
+from . import canonical, leaks, main_text, names, near_duplicates, packing, repeated_lines, sentences, spans, stories
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p2_freed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.freed_pages(_pages(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.same_names(_articles(spark, sf_dir))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_groups(_articles(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_boundaries(_articles(spark, sf_dir))
 
@@ -83,5 +91,5 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_freed, p4_found, p4_sentences, p5_found, p5_canonical, p6_found, p7_found, p7_typical, p8_packed, p8_fill, p9_found, p10_found, p10_share)
+    for f in (p1_found, p1_groups, p2_found, p2_freed, p3_found, p3_groups, p4_found, p4_sentences, p5_found, p5_canonical, p6_found, p7_found, p7_typical, p8_packed, p8_fill, p9_found, p10_found, p10_share)
 }

@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import news, opinions, relational
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+for _module in (news, opinions, relational):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["opinion_sentiment"](spark, sf_dir)
+    return QUERIES["quote_attribution"](spark, sf_dir)

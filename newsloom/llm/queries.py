@@ -93,3 +93,22 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_groups, p2_found, p2_freed, p3_found, p3_groups, p4_found, p4_sentences, p5_found, p5_canonical, p6_found, p7_found, p7_typical, p8_packed, p8_fill, p9_found, p10_found, p10_share)
 }
+
+# SQL for the queries that SQL can answer on whole tables.
+_CANONICAL = canonical.canonical_sql().replace("FROM src)", "FROM (SELECT DISTINCT news_id AS id, 'article' AS field, article AS text FROM article_page WHERE article IS NOT NULL))")
+_WINDOWS = f"""(SELECT DISTINCT doc_id, pos, md5(substr(text, pos, {spans.SPAN})) AS piece FROM (
+    SELECT doc_id, text, unnest(range(1, length(text) - {spans.SPAN} + 2)) AS pos FROM documents WHERE length(text) >= {spans.SPAN}))"""
+
+ORACLE = {
+    "p1_found": f"""WITH bodies AS (SELECT id, regexp_replace(canonical, '\\s', '', 'g') AS body FROM ({_CANONICAL})),
+        grams AS (SELECT DISTINCT id, substr(body, pos, {near_duplicates.RUN}) AS gram FROM (SELECT id, body, unnest(range(1, length(body) - {near_duplicates.RUN} + 2)) AS pos FROM bodies)),
+        sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+        shared AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2)
+        SELECT a AS news_a, b AS news_b FROM shared s JOIN sizes x ON x.id = s.a JOIN sizes y ON y.id = s.b WHERE s.n >= {near_duplicates.SIMILARITY} * (x.n + y.n - s.n)""",
+    "p10_found": f"SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM {_WINDOWS} a JOIN {_WINDOWS} b ON a.piece = b.piece AND a.doc_id < b.doc_id",
+    "p10_share": f"""WITH w AS {_WINDOWS}, twice AS (SELECT piece FROM w GROUP BY piece HAVING min(doc_id) < max(doc_id)),
+        held AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM w WHERE piece IN (SELECT piece FROM twice)),
+        covered AS (SELECT doc_id, CAST(sum(least({spans.SPAN}, coalesce(following - pos, {spans.SPAN}))) AS BIGINT) AS chars FROM held GROUP BY doc_id)
+        SELECT doc_id, max(coalesce(length(text), 0)) AS n_chars, coalesce(any_value(chars), 0) AS shared_chars, CASE WHEN max(length(text)) > 0 THEN coalesce(any_value(chars), 0) / max(length(text)) ELSE 0.0 END AS share
+        FROM documents LEFT JOIN covered USING (doc_id) GROUP BY doc_id""",
+}

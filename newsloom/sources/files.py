@@ -46,7 +46,7 @@ def is_file(spark: SparkSession, path: str) -> bool:
 def read_lexicon(spark: SparkSession, negative: str, positive: str, encoding: str = "UTF-16") -> DataFrame:
     """(polarity, word) from two files with a word on each line. Words that occur twice stay twice; blank lines are dropped."""
     def one(path: str, polarity: str) -> DataFrame:
-        text = spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit(encoding)).alias("t"))
+        text = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("t"))
         lines = text.select(F.explode(F.split("t", "\r\n|\r|\n")).alias("word"))
         return lines.select(F.lit(polarity).alias("polarity"), F.trim(F.replace("word", F.lit("﻿"), F.lit(""))).alias("word")).where("word <> ''")
 

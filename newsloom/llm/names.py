@@ -45,6 +45,8 @@ _NICKNAME = re.compile(rf"(?:綽號|外號|暱稱|人稱){_OPEN}([^「」『』
 _ALL_CALL = re.compile(rf"{_LEAD}(?:在地方上|在地方|地方上|大家|鄉親)都(?:叫|稱){_OPEN}([{_HAN}]{{1,4}}){_SHUT}(?=[,。;])")
 _BECAME = re.compile(rf"{_LEAD}(?:出任|擔任|接任|升任|就任)[{_HAN}]{{2,6}}?後?(?:人稱|被稱為){_OPEN}([{_HAN}]{{2,8}}){_SHUT}(?=[,。;])")
 _FOREIGN = re.compile(rf"{_RUN}\(\s*([A-Za-zÀ-ɏ][A-Za-zÀ-ɏ .'’-]{{2,80}}?)\s*(?:,\s*(?:{'|'.join(SHORT_FORM)})\s*([A-Z][A-Za-z]{{1,9}})\s*)?\)")
+#: Each pattern runs only over texts that hold one of its words.
+_CUES = ((_CALLED, SHORT_FORM), (_ALL_CALL, ("都叫", "都稱")), (_BECAME, ("人稱", "被稱為")))
 _INITIAL = re.compile(r"^([a-z])(?:\. ?| )([a-z][a-z'’-]{2,})$")
 _PREFIXED = re.compile(r"^(?:o|d|mc|mac|de|von|van)['’ ]([a-z-]{3,})$")
 _BRACKETED = re.compile(r"^(.+?)[(（]([^()（）]+)[)）]$")
@@ -99,8 +101,9 @@ def _person(run: str) -> list[str]:
 def introductions(text: str, speakers: list[str]) -> list[tuple[tuple[str, ...], str]]:
     """(candidates for the full name, short form) of a canonical article and its canonical speakers."""
     out: list[tuple[tuple[str, ...], str]] = []
-    for pattern in (_CALLED, _ALL_CALL, _BECAME):
-        out += [(tuple(_person(m[1])), bare(m[2])) for m in pattern.finditer(text)]
+    for pattern, cues in _CUES:
+        if any(c in text for c in cues):
+            out += [(tuple(_person(m[1])), bare(m[2])) for m in pattern.finditer(text)]
     for m in _NICKNAME.finditer(text):
         run = m[2]
         if "·" in run:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -98,6 +99,18 @@ def _next_seen(line: str, i: int) -> tuple[str, bool]:
     return "", spaced
 
 
+def _blank(line: str, a: int, b: int) -> bool:
+    return all(line[i].isspace() for i in range(a, b))
+
+
+def _last_seen(line: str, i: int) -> str:
+    """The last character before i that isn't hidden, '' if there is none."""
+    i -= 1
+    while i >= 0 and _hidden(line[i]):
+        i -= 1
+    return line[i] if i >= 0 else ""
+
+
 def _ends_inside(line: str, i: int) -> bool:
     """Whether the character before i, hidden ones and closing marks aside, is an end mark."""
     i -= 1
@@ -153,6 +166,7 @@ def _line_ends(line: str, plain: frozenset[int], nesting: bool, thai: bool) -> t
     """Ends within one line, and the places of openers that stayed open. plain: places that count as plain characters."""
     ends: list[int] = []
     stack: list[tuple[str, int]] = []
+    pending: Counter = Counter()
     listed = _LIST_MARK.match(line)
     done = listed.end() if listed else 0
     for m in (_EVENTS_AND_SPACES if thai else _EVENTS).finditer(line, done):
@@ -161,19 +175,21 @@ def _line_ends(line: str, plain: frozenset[int], nesting: bool, thai: bool) -> t
             continue
         if c in QUOTES or c in BRACKETS:
             if nesting:
-                stack.append((QUOTES.get(c) or BRACKETS[c], i))
+                closer = QUOTES.get(c) or BRACKETS[c]
+                stack.append((closer, i))
+                pending[closer] += 1
             continue
         if c in _CLOSERS or c in EITHER:
             quote = c in EITHER or _CLOSERS[c] in QUOTES
-            if c in EITHER and not any(x == c for x, _ in stack):
-                if nesting:
+            if not pending[c]:
+                if c in EITHER and nesting:
                     stack.append((c, i))
-                continue
-            if not any(x == c for x, _ in stack):
+                    pending[c] += 1
                 continue
             start = i
             while stack:
                 closer, start = stack.pop()
+                pending[closer] -= 1
                 if closer == c:
                     break
             if stack or not _ends_inside(line, i):
@@ -181,13 +197,13 @@ def _line_ends(line: str, plain: frozenset[int], nesting: bool, thai: bool) -> t
             if quote:
                 if not _sentence_goes_on(line, i + 1):
                     ends.append(i + 1)
-            elif not line[ends[-1] if ends else 0 : start].strip() and not _sentence_goes_on(line, i + 1):
+            elif _blank(line, ends[-1] if ends else 0, start) and not _sentence_goes_on(line, i + 1):
                 ends.append(i + 1)
             continue
         if stack:
             continue
         if c.isspace():
-            before = next((x for x in reversed(line[:i]) if not _hidden(x)), "")
+            before = _last_seen(line, i)
             after = _next_seen(line, i)[0]
             if _THAI.match(before) and (_THAI.match(after) or not after.isalnum()) or (_THAI.match(after) and not before.isspace()):
                 ends.append(i)

@@ -225,15 +225,16 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             if d := difference(a, b):
-                rows.append((a, b, kind_of(a), *d))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(6)], names=["a", "b", "kind", "how", "x", "y"])
+                rest = "".join(sorted(a.replace(d[1], "", 1))) if d[0] == "sub" else ""
+                rows.append((a, b, kind_of(a), *d, rest))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(7)], names=["a", "b", "kind", "how", "x", "y", "rest"])
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different characters of each key, with the key's kind."""
+    """The different characters of each key, with the key's kind and all its characters in order, whatever their places."""
     for batch in batches:
-        rows = [(kind_of(k), c) for k in batch.column("key").to_pylist() for c in sorted(set(k))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["kind", "c"])
+        rows = [(kind_of(k), c, "".join(sorted(k))) for k in batch.column("key").to_pylist() for c in sorted(set(k))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "c", "all"])
 
 
 def _similar_keys(keys: DataFrame, similarity: float) -> DataFrame:
@@ -251,16 +252,20 @@ def _similar_keys(keys: DataFrame, similarity: float) -> DataFrame:
 
 def _spelling_links(keys: DataFrame, similarity: float, regular: float) -> DataFrame:
     """(a, b): keys that are spellings of one name as far as the spellings themselves tell."""
-    found = written(_similar_keys(keys, similarity).mapInArrow(_differences, "a string, b string, kind string, how string, x string, y string"))
+    found = written(_similar_keys(keys.select("key"), similarity).mapInArrow(_differences, "a string, b string, kind string, how string, x string, y string, rest string"))
     plain = found.where("how in ('swap', 'twice')").select("a", "b")
-    # a character is soft where most names that hold it also exist with the other character in its place
-    subs = found.where("how = 'sub' and kind <> 'latin'").select("a", "b", "kind", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
-    letters = written(keys.mapInArrow(_letters, "kind string, c string").groupBy("kind", "c").agg(F.count(F.lit(1)).alias("names")))
-    support = subs.groupBy("kind", "p", "q").agg(F.count(F.lit(1)).alias("support"))
+    # a character is soft where most names that hold it also exist with the other character in its place; names
+    # that only differ in the order of their characters are one piece of evidence
+    subs = found.where("how = 'sub' and kind <> 'latin'").select("a", "b", "kind", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "rest")
+    letters = written(keys.select("key").mapInArrow(_letters, "kind string, c string, all string").groupBy("kind", "c").agg(F.countDistinct("all").alias("names")))
+    support = subs.groupBy("kind", "p", "q").agg(F.countDistinct("rest").alias("support"))
     weighed = support.join(letters.select("kind", F.col("c").alias("p"), F.col("names").alias("np")), ["kind", "p"])
     weighed = weighed.join(letters.select("kind", F.col("c").alias("q"), F.col("names").alias("nq")), ["kind", "q"])
-    soft = weighed.where(F.col("support") >= regular * F.least("np", "nq")).select("kind", "p", "q")
-    typed = subs.join(soft, ["kind", "p", "q"]).select("a", "b")
+    soft = weighed.where(F.col("support") >= regular * F.least("np", "nq")).select("kind", "p", "q", "support")
+    # seen once only, the difference counts if one spelling is the much rarer one
+    uses = keys.select("key", "n")
+    typed = subs.join(soft, ["kind", "p", "q"]).join(uses.withColumnsRenamed({"key": "a", "n": "na"}), "a").join(uses.withColumnsRenamed({"key": "b", "n": "nb"}), "b")
+    typed = typed.where((F.col("support") > 1) | (2 * F.least("na", "nb") <= F.greatest("na", "nb"))).select("a", "b")
     # an abbreviation that fits several organisations is left to the articles
     shorts = found.where("how = 'short'").select(F.col("x").alias("a"), F.col("y").alias("b"))
     single = shorts.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).where("n = 1").select("a", "b")
@@ -306,12 +311,13 @@ def name_groups(articles: DataFrame, similarity: float = SIMILARITY, regular: fl
     best = each.groupBy("id", "short", "n").agg(F.min_by("key", F.struct(-F.coalesce("uses", F.lit(0)), F.col("at"))).alias("key"))
     told = best.groupBy("short", "key").agg(F.sum("n").alias("n")).groupBy("short").agg(F.min_by("key", F.struct(-F.col("n"), F.col("key"))).alias("key"))
     told = written(told)
-    every = written(known.select("key").unionByName(told.select("key")).unionByName(told.select(F.col("short").alias("key"))).distinct())
+    every = known.select("key", "n").unionByName(told.select("key", F.lit(0).alias("n"))).unionByName(told.select(F.col("short").alias("key"), F.lit(0).alias("n")))
+    every = written(every.groupBy("key").agg(F.max("n").alias("n")))
     # a short form that was introduced is explained; its likeness to other short forms means nothing
     explained = told.select(F.col("short").alias("key"))
     spelled = _spelling_links(every.join(explained.where("key rlike '[\\\\x{3400}-\\\\x{9FFF}]'"), "key", "left_anti"), similarity, regular)
     # Latin short forms without an introduction: only if a single full name allows them
-    latin = every.mapInArrow(_shortened_latin, "key string, short string, full boolean")
+    latin = every.select("key").mapInArrow(_shortened_latin, "key string, short string, full boolean")
     latin = written(latin)
     open_short = latin.where("not full").join(told.select(F.col("short").alias("key")), "key", "left_anti").select(F.col("key").alias("b"), "short")
     fulls = latin.where("full").select(F.col("key").alias("a"), "short")

@@ -12,7 +12,7 @@ BLOCK_TAGS = "p div li ul ol h1 h2 h3 h4 table tbody tr td header footer nav mai
 #: Elements beside the content.
 SIDE_TAGS = ("aside", "nav", "footer", "form")
 
-_ATTRIBUTES = r"""(?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+'|["'])*+"""
+_ATTRIBUTES = r"""(?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+"""
 _UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _HEAD = re.compile(r"<head\b.*?</head\s*>", re.S | re.I)
 _BODY, _BODY_END = re.compile(r"<body\b[^>]*>", re.I), re.compile(r"</body\s*>", re.I)

@@ -22,13 +22,15 @@ END_MARKS = "。！？!?｡؟۔।॥։።፧"
 DOTS = ".．…‥"
 QUOTES = {"「": "」", "『": "』", "“": "”", "„": "”", "«": "»", "‹": "›", "〝": "〞", "｢": "｣"}
 BRACKETS = {"(": ")", "（": "）", "[": "]", "［": "］", "{": "}", "【": "】", "《": "》", "〈": "〉", "〔": "〕", "〖": "〗"}
+TITLE_CLOSERS = "》〉"
 EITHER = '"＂'
 GOING_ON = ",，、;；:：､・–—-～~/"
 #: After a quotation with its own full stop: particles that lead the sentence on, and in Hindi the words.
 LEADING_ON = "並并而後后時时的等之來来地為为與与及和或是但"
 LEADING_WORDS = frozenset("कहा कहते कही कहकर बताया बोला बोले बोली पूछा लिखा दोहराया जोड़ा कि ने और को का की के में से पर तो ऐसा यह".split())
-#: Abbreviations that never end a sentence, and those that do where another may begin.
-NEVER_ENDING = "mr mrs ms mx dr prof gov sen rep lt col gen sgt capt cmdr maj adm hon rev fr st mt ft no nos vol fig eq sec ch art pp p para cf vs v e.g i.e viz approx ca al ed eds trans tel ext dept est jan feb mar apr jun jul aug sept oct nov dec mon tue wed thu fri sat sun hr fr sr.a srta sra nr bzw z.b d.h usw.u mme mlle m".split()
+#: Abbreviations that never end a sentence, those that don't before a number, and those that do where another sentence may begin.
+NEVER_ENDING = "mr mrs ms mx dr prof gov sen rep lt col gen sgt capt cmdr maj adm hon rev fr hr st mt ft cf vs v e.g i.e viz approx ca eds trans dept est sr.a srta sra bzw z.b d.h usw.u mme mlle".split()
+NUMBERED = "no nr nos vol fig eq sec ch art pp p para tel ext jan feb mar apr jun jul aug sept oct nov dec mon tue wed thu fri sat sun".split()
 MAYBE_ENDING = "inc corp ltd co llc plc jr sr a.m p.m am pm u.n u.s u.k e.u u.s.a etc b.c a.d ph.d m.d b.a m.a d.c".split()
 
 _CLOSERS = {**{b: a for a, b in QUOTES.items()}, **{b: a for a, b in BRACKETS.items()}}
@@ -48,7 +50,7 @@ def _trie(words: list[str], kind: str, root: dict) -> dict:
     return root
 
 
-_ABBREVIATIONS = _trie(MAYBE_ENDING, "maybe", _trie(NEVER_ENDING, "never", {}))
+_ABBREVIATIONS = _trie(MAYBE_ENDING, "maybe", _trie(NUMBERED, "numbered", _trie(NEVER_ENDING, "never", {})))
 
 
 def _hidden(c: str) -> bool:
@@ -60,7 +62,7 @@ def _plain(c: str) -> str:
 
 
 def _abbreviation(line: str, dot: int) -> str | None:
-    """What stands before the dot: 'never' or 'maybe' of the trie, 'initial' for a single capital, else None."""
+    """What stands before the dot: 'never', 'numbered' or 'maybe' of the trie, 'initial' for a single capital, else None."""
     node, i, kind, first = _ABBREVIATIONS, dot - 1, None, ""
     length = 0
     while i >= 0 and node is not None:
@@ -153,6 +155,8 @@ def _after_mark(line: str, start: int, i: int, dots: int) -> bool:
         kind = _abbreviation(line, i - 1)
         if kind in ("never", "initial"):
             return False
+        if kind == "numbered" and p.isdigit():
+            return False
         if kind == "maybe":
             return p.isupper() or c in QUOTES or c in EITHER
         return not p.islower()
@@ -197,7 +201,7 @@ def _line_ends(line: str, plain: frozenset[int], nesting: bool, thai: bool) -> t
             if quote:
                 if not _sentence_goes_on(line, i + 1):
                     ends.append(i + 1)
-            elif _blank(line, ends[-1] if ends else 0, start) and not _sentence_goes_on(line, i + 1):
+            elif c not in TITLE_CLOSERS and _blank(line, ends[-1] if ends else 0, start) and not _sentence_goes_on(line, i + 1):
                 ends.append(i + 1)
             continue
         if stack:

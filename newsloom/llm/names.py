@@ -27,6 +27,9 @@ from .canonical import canonical_texts
 SIMILARITY = 0.5
 #: Least regularity of a differing character: the share of the names with it that also exist with the other one.
 REGULAR = 0.5
+#: Least share of a differing character's evidence in which one spelling is at least twice as frequent as the other:
+#: a slip is rarer than the name, while two persons' names need not be.
+UNEVEN = 0.25
 
 # Titles, words that introduce a short form, endings of organisations, administrative endings in their names.
 TITLES = "主任委員 副主委 主委 副處長 處長 副理事長 理事長 常務理事 理事 執行長 副執行長 總幹事 顧問 書記 里長 村長 副館長 館長 議員 立委 委員 監事 召集人 市長 縣長 鄉長 鎮長 局長 部長 主席 秘書長 副秘書長 董事長 總經理 經理 發言人 教授 博士 律師 醫師 校長 院長 會長 副會長 主任 組長 隊長 先生 女士 小姐".split()
@@ -74,6 +77,11 @@ def bare(name: str) -> str:
     return name
 
 
+def _filed(core: str) -> str:
+    """A bare name with the parts between its dots in a fixed order."""
+    return "·".join(sorted(filter(None, core.split("·")))) if "·" in core else core
+
+
 def keys_of(name: str) -> list[str]:
     """The keys under which a canonical name is filed; names with a common key are the same."""
     core = bare(name)
@@ -84,7 +92,7 @@ def keys_of(name: str) -> list[str]:
     out = [core]
     if "·" in core:
         parts = [p for p in core.split("·") if p]
-        out = ["·".join(sorted(parts)), "".join(parts), "".join(reversed(parts))]
+        out = [_filed(core), "".join(parts), "".join(reversed(parts))]
     elif len(core) >= 5 and core.endswith(tuple(ORGANISATIONS)) and core[2] in ADMINISTRATIVE:
         out.append(core[:2] + core[3:])
     return list(dict.fromkeys(out))
@@ -118,7 +126,8 @@ def introductions(text: str, speakers: list[str]) -> list[tuple[tuple[str, ...],
         if m[3]:
             out.append((full, bare(m[3])))
         out += [((foreign,), s) for s in shorts if s != foreign and shortens(s, foreign)]
-    return [(full, short) for full, short in out if short and short not in full]
+    filed = [(tuple(dict.fromkeys(_filed(f) for f in full)), _filed(short)) for full, short in out]
+    return [(full, short) for full, short in filed if short and short not in full]
 
 
 def shortens(short: str, full: str) -> bool:
@@ -202,7 +211,8 @@ def difference(a: str, b: str) -> tuple[str, str, str] | None:
     if len(a) == len(b):
         at = [i for i, (x, y) in enumerate(zip(a, b)) if x != y]
         if len(at) == 1:
-            return "sub", a[at[0]], b[at[0]]
+            # persons with one given name and different surnames are common, misspelt surnames are not
+            return None if at[0] == 0 and kind_of(a) == "han" else ("sub", a[at[0]], b[at[0]])
         if len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]] and (at[0] > 0 or not _CJK.search(a)):
             return "swap", "", ""
         return None
@@ -261,14 +271,20 @@ def _spelling_links(keys: DataFrame, similarity: float, regular: float) -> DataF
     support = subs.groupBy("kind", "p", "q").agg(F.countDistinct("rest").alias("support"))
     weighed = support.join(letters.select("kind", F.col("c").alias("p"), F.col("names").alias("np")), ["kind", "p"])
     weighed = weighed.join(letters.select("kind", F.col("c").alias("q"), F.col("names").alias("nq")), ["kind", "q"])
-    soft = weighed.where(F.col("support") >= regular * F.least("np", "nq")).select("kind", "p", "q", "support")
-    # seen once only, the difference counts if one spelling is the much rarer one
     uses = keys.select("key", "n")
-    typed = subs.join(soft, ["kind", "p", "q"]).join(uses.withColumnsRenamed({"key": "a", "n": "na"}), "a").join(uses.withColumnsRenamed({"key": "b", "n": "nb"}), "b")
-    typed = typed.where((F.col("support") > 1) | (2 * F.least("na", "nb") <= F.greatest("na", "nb"))).select("a", "b")
+    counted = subs.join(uses.withColumnsRenamed({"key": "a", "n": "na"}), "a").join(uses.withColumnsRenamed({"key": "b", "n": "nb"}), "b")
+    # the rarer character stands for one other only: the one with the most evidence, then the more frequent names
+    uneven = F.countDistinct(F.when(2 * F.least("na", "nb") <= F.greatest("na", "nb"), F.col("rest")))
+    weight = counted.groupBy("kind", "p", "q").agg(F.sum(F.greatest("na", "nb")).alias("uses"), uneven.alias("uneven"))
+    rare = F.when(F.struct("np", "p") <= F.struct("nq", "q"), F.col("p")).otherwise(F.col("q"))
+    regularly = weighed.where(F.col("support") >= regular * F.least("np", "nq")).join(weight, ["kind", "p", "q"]).where(F.col("uneven") >= F.greatest(F.lit(1), F.col("support") * UNEVEN)).withColumn("rare", rare)
+    order = Window.partitionBy("kind", "rare").orderBy(F.desc("support"), F.desc("uses"), "p", "q")
+    soft = regularly.withColumn("place", F.row_number().over(order)).where("place = 1").select("kind", "p", "q", "support")
+    typed = counted.join(soft, ["kind", "p", "q"]).select("a", "b")
     # an abbreviation that fits several organisations is left to the articles
     shorts = found.where("how = 'short'").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    single = shorts.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).where("n = 1").select("a", "b")
+    plainer = F.regexp_replace("a", f"^(..)[{''.join(ADMINISTRATIVE)}]", "$1")
+    single = shorts.groupBy("b").agg(F.countDistinct(plainer).alias("n"), F.min("a").alias("a")).where("n = 1").select("a", "b")
     return plain.unionByName(typed).unionByName(single)
 
 

@@ -1,8 +1,8 @@
 """Opinions from parsed clauses: pairs of a speech verb and its agent.
 
 The parser is external. Its output comes as one row a node: (key, clause_id, node_id, parent_id, pos, role,
-word, delim); node_id numbers the nodes of a clause in tree order, word is null for inner nodes, delim is the
-mark that closes the clause.
+word, delim); node_id numbers the nodes of a clause in tree order (each before its descendants, depth first), word is
+null for inner nodes, delim is the mark that closes the clause.
 """
 
 from __future__ import annotations
@@ -28,15 +28,12 @@ def node_spans(nodes: DataFrame, key: str = "news_id") -> DataFrame:
     last = F.max("node_id").over(Window.partitionBy(key, "clause_id"))
     size = F.length(F.coalesce("word", F.lit(""))) + F.when(F.col("node_id") == last, F.length(F.coalesce("delim", F.lit("")))).otherwise(0)
     placed = nodes.withColumn("start", F.coalesce(F.sum(size).over(order), F.lit(0)).cast("int")).withColumn("end", F.col("start") + F.length(F.coalesce("word", F.lit(""))))
-    # descendants of the inner agent nodes, level by level: trees of clauses are shallow
-    inner = placed.where("word is null and role like '%agent%'").select(key, "clause_id", F.col("node_id").alias("top"), F.col("node_id").alias("at"))
-    leaves, level = None, inner
-    down = placed.select(key, "clause_id", F.col("parent_id").alias("at"), F.col("node_id").alias("child"), "word", "start", "end")
-    for _ in range(12):
-        level = level.join(down, [key, "clause_id", "at"]).select(key, "clause_id", "top", F.col("child").alias("at"), "word", "start", "end")
-        found = level.where("word is not null")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        level = level.where("word is null").select(key, "clause_id", "top", "at")
+    # in tree order a node's descendants follow it up to the first node that hangs above it, so a subtree is a range
+    inner = placed.where("word is null and role like '%agent%'").select(key, "clause_id", F.col("node_id").alias("top"))
+    later = placed.select(key, "clause_id", F.col("node_id").alias("at"), "parent_id", "word", "start", "end")
+    after = inner.join(later, [key, "clause_id"]).where("at > top")
+    stop = F.min(F.when(F.coalesce("parent_id", F.lit(-1)) < F.col("top"), F.col("at"))).over(Window.partitionBy(key, "clause_id", "top"))
+    leaves = after.withColumn("stop", stop).where("word is not null and (stop is null or at < stop)")
     joined = leaves.groupBy(key, "clause_id", "top").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), "").alias("t"))
     out = placed.join(joined.withColumnRenamed("top", "node_id"), [key, "clause_id", "node_id"], "left")
     return out.withColumns({"start": F.coalesce("s", "start"), "end": F.coalesce("e", "end"), "text": F.coalesce("t", "word")}).drop("s", "e", "t")

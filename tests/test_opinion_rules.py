@@ -117,6 +117,9 @@ def test_clause_pairs_and_opinions(spark):
     assert strict == {(0, "說", 3, "王小明", 0, 3)}
     wide = {(r.clause_id, r.agent) for r in clauses.clause_pairs(nodes, strict=False).collect()}
     assert wide == {(0, "王小明"), (2, "他")}
+    deep = [(1, 0, 0, None, "S", None, None, "")] + [(1, 0, i, i - 1, "NP", "agent" if i == 1 else None, None, "") for i in range(1, 30)]
+    deep += [(1, 0, 30, 29, "Nb", None, "王", ""), (1, 0, 31, 5, "Nb", None, "五", ""), (1, 0, 32, 0, "VE2", "Head", "說", "")]
+    assert clauses.clause_pairs(spark.createDataFrame(deep, NODES)).first().agent == "王五"
     news = spark.createDataFrame([(1, "王小明說,預算應該重新檢討了。他說指。")], "news_id int, article string")
     people = spark.createDataFrame([(1, 0, "小明"), (1, 1, "王小明")], "news_id int, name_seq int, name string")
     got = [(r.person, r.verb, r.opinion) for r in clauses.clause_opinions(news, clauses.clause_pairs(nodes), people).collect()]

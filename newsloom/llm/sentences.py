@@ -22,11 +22,13 @@ END_MARKS = "。！？!?｡؟۔।॥։።፧"
 DOTS = ".．…‥"
 QUOTES = {"「": "」", "『": "』", "“": "”", "„": "”", "«": "»", "‹": "›", "〝": "〞", "｢": "｣"}
 BRACKETS = {"(": ")", "（": "）", "[": "]", "［": "］", "{": "}", "【": "】", "《": "》", "〈": "〉", "〔": "〕", "〖": "〗"}
-TITLE_CLOSERS = "》〉"
+TITLE_CLOSERS, NOTE_OPENERS = "》〉", "(（[［"
 EITHER = '"＂'
 GOING_ON = ",，、;；:：､・–—-～~/"
-#: After a quotation with its own full stop: particles that lead the sentence on, and in Hindi the words.
-LEADING_ON = "並并而後后時时的等之來来地為为與与及和或是但"
+#: Behind a quotation that ends in an exclamation or question: words that lead the sentence on; in Hindi, behind any.
+LEADING_ON = "並并而"
+#: Particles that no sentence starts with, so that they lead on behind any mark.
+TRAILING = "的等之時时"
 LEADING_WORDS = frozenset("कहा कहते कही कहकर बताया बोला बोले बोली पूछा लिखा दोहराया जोड़ा कि ने और को का की के में से पर तो ऐसा यह".split())
 #: Abbreviations that never end a sentence, those that don't before a number, and those that do where another sentence may begin.
 NEVER_ENDING = "mr mrs ms mx dr prof gov sen rep lt col gen sgt capt cmdr maj adm hon rev fr hr st mt ft cf vs v e.g i.e viz approx ca eds trans dept est sr.a srta sra bzw z.b d.h usw.u mme mlle".split()
@@ -113,12 +115,18 @@ def _last_seen(line: str, i: int) -> str:
     return line[i] if i >= 0 else ""
 
 
-def _ends_inside(line: str, i: int) -> bool:
-    """Whether the character before i, hidden ones and closing marks aside, is an end mark."""
+def _mark_inside(line: str, i: int) -> str:
+    """The character before i, hidden ones, white space and closing marks aside."""
     i -= 1
-    while i >= 0 and (_hidden(line[i]) or line[i].isspace() or line[i] in _CLOSERS):
+    while i >= 0 and (_hidden(line[i]) or line[i].isspace() or line[i] in _CLOSERS or line[i] in EITHER):
         i -= 1
-    return i >= 0 and (line[i] in END_MARKS or line[i] in DOTS)
+    return line[i] if i >= 0 else ""
+
+
+def _ends_inside(line: str, i: int) -> bool:
+    """Whether that character is an end mark."""
+    mark = _mark_inside(line, i)
+    return bool(mark) and (mark in END_MARKS or mark in DOTS)
 
 
 def _sentence_goes_on(line: str, i: int) -> bool:
@@ -129,7 +137,7 @@ def _sentence_goes_on(line: str, i: int) -> bool:
     if c in GOING_ON or c in END_MARKS or c in DOTS or c in _CLOSERS:
         return True
     if c in QUOTES or c in EITHER or c in BRACKETS:
-        return c in BRACKETS
+        return c in NOTE_OPENERS
     p = _plain(c)[:1]
     if "ぁ" <= p <= "ゟ" or "가" <= p <= "힣" or "ᄀ" <= p <= "ᇿ":
         return not spaced
@@ -137,7 +145,7 @@ def _sentence_goes_on(line: str, i: int) -> bool:
         word = re.match(r"[ऀ-ॣ॰-ॿ‌‍]+", line[line.index(c, i) :])
         return word is not None and unicodedata.normalize("NFC", re.sub("[‌‍]", "", word[0])) in LEADING_WORDS
     if "㐀" <= p <= "鿿":
-        return p in LEADING_ON and not spaced
+        return not spaced and (p in TRAILING or (p in LEADING_ON and _mark_inside(line, i) in "!?！？"))
     return p.islower()
 
 

@@ -152,6 +152,7 @@ def test_repeated_lines(spark, limit, monkeypatch):
 
 
 CASES = {
+    "但": "他說:「好。」但她走了。「好。」地方也走了。「好。」的說法。「好。」《條例》通過。「好。」(註)他說。",
     "zh": "他說:「好。不行!」她走了。「先救人!」,他喊著。高喊「要活路!」並靜坐。為何?!真的!!!價格3.5元,見data.a.example/r/1.html頁。第71號(註:甲。乙。)。\n小標題\n《誰說了算?》出版。「這......再看」",
     "en": 'Dr. No met Mr. B. Smith at 9 a.m. on Main St. today. It cost $3.5 (see p. 4 of the U.N. report). "We go. They stay." The end... "Stop!" shouted Al. He left at 6 p.m. The U.S. won',
     "ja": "彼は「待てない。急ぐ。」と言った。住民が「返せ!」と叫んだ。次。",
@@ -162,6 +163,7 @@ CASES = {
     "open": "「沒有關上。還有一句。\n下一行。",
 }
 EXPECTED = {
+    "但": ["他說:「好。」", "但她走了。", "「好。」", "地方也走了。", "「好。」的說法。", "「好。」", "《條例》通過。", "「好。」(註)他說。"],
     "zh": ["他說:「好。不行!」", "她走了。", "「先救人!」,他喊著。", "高喊「要活路!」並靜坐。", "為何?!", "真的!!!", "價格3.5元,見data.a.example/r/1.html頁。", "第71號(註:甲。乙。)。", "小標題", "《誰說了算?》出版。", "「這......再看」"],
     "en": ["Dr. No met Mr. B. Smith at 9 a.m. on Main St. today.", "It cost $3.5 (see p. 4 of the U.N. report).", '"We go. They stay."', "The end...", '"Stop!" shouted Al.', "He left at 6 p.m.", "The U.S. won"],
     "ja": ["彼は「待てない。急ぐ。」と言った。", "住民が「返せ!」と叫んだ。", "次。"],

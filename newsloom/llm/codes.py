@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 NONE = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
 _BASE = 0x9E37_79B9_7F4A_7C15
 

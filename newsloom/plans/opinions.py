@@ -263,7 +263,7 @@ def opinion_medoids(spark, sf_dir):
 
 @R.add()
 def kmeans_issue(spark, sf_dir):
-    return grouping.sweep_clusters(_vectors(spark, sf_dir), "vec_id", "embedding", range(2, 7))
+    return grouping.sweep_clusters(_vectors(spark, sf_dir), "vec_id", "embedding")
 
 
 @R.add()

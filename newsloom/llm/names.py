@@ -1,9 +1,9 @@
 """Problem 3: variant spellings of the same person or organisation.
 
 Every spelling is written in canonical form and given keys (without titles, white space, order of parts).
-Keys are joined by prefix-filtered set similarity over their q-grams; candidates are verified by a soft
-weighted similarity in which a differing character counts the less, the more regularly it stands for the
-other one across all names, and rare characters count more. Short forms that a name alone doesn't explain
+Keys are joined by prefix-filtered set similarity over their q-grams; candidates pass if they differ
+in one of a few ways: a character that regularly stands for the other one across all names, two neighbours
+swapped, a letter written twice, an organisation's name shortened. Short forms that a name alone doesn't explain
 (nicknames, surname with title, initials, acronyms) are read from the articles that introduce them.
 """
 

@@ -56,7 +56,7 @@ def _class(points) -> str:
 
 @lru_cache
 def _tables() -> dict[str, str]:
-    invisible, spaces, compat, one_from, one_to, many = [], [], [], [], [], {}
+    invisible, spaces, compat, one_from, one_to, many, odd = [], [], [], [], [], {}, []
     for p in range(0x110000):
         if 0xD800 <= p < 0xE000:
             continue
@@ -64,6 +64,8 @@ def _tables() -> dict[str, str]:
         kind = unicodedata.category(c)
         if p in LINE_BREAKS:
             continue
+        if kind[0] == "M" or unicodedata.normalize("NFC", c) != c or 0x1100 <= p < 0x1200:
+            odd.append(p)
         if (kind == "Cf" and p not in VISIBLE_FORMATS) or (kind == "Cc" and p != 9) or p in BLANK_LETTERS:
             invisible.append(p)
         elif kind == "Zs" and p != 0x20:
@@ -78,7 +80,9 @@ def _tables() -> dict[str, str]:
             elif unicodedata.normalize("NFC", c) == c:
                 many[c] = n.replace("⁄", "/")
     compat.extend(p for p in range(0x2E80, 0x2FD6) if unicodedata.category(chr(p)) == "So" and p not in set(compat))
+    odd = {*odd, *invisible, *spaces, *compat, *map(ord, one_from), *map(ord, many), 0x200D, 0xFE0F}
     return {
+        "odd": _class(odd),
         "invisible": _class(invisible), "spaces": _class(spaces), "compat": _class(compat),
         "from": "".join(one_from) + "".join(map(chr, spaces)), "to": "".join(one_to) + " " * len(spaces),
         "several": _class(map(ord, many)), "keys": list(many), "values": list(many.values()),
@@ -91,19 +95,24 @@ def _quoted(s: str) -> str:
 
 @lru_cache
 def canonical_sql() -> str:
-    """SQL over src(id, field, text): id, field, canonical, affected."""
+    """SQL over src(id, field, text): id, field, canonical, affected.
+
+    A text without any character that a later step could change or that could join its neighbour passes as it is.
+    """
     t = _tables()
     other = "".join(f"\\p{{{s}}}" for s in OTHER_SCRIPTS)
     mixed = f"\\p{{Latin}}[\\p{{M}}]*[{other}]|[{other}][\\p{{M}}]*\\p{{Latin}}"
     word = f"[\\p{{Latin}}{other}\\p{{M}}]+|[^\\p{{Latin}}{other}\\p{{M}}]+"
     emoji = f"{EMOJI}\\x{{FE0F}}?[\\x{{1F3FB}}-\\x{{1F3FF}}]?\\x{{20E3}}?(?:\\x{{200D}}{EMOJI}\\x{{FE0F}}?[\\x{{1F3FB}}-\\x{{1F3FF}}]?)*[\\x{{E0020}}-\\x{{E007F}}]*"
     keys, values = (f"[{', '.join(map(_quoted, t[k]))}]" for k in ("keys", "values"))
+    odd = f"[{t['odd'][1:-1]}{other}]"
     return f"""
-WITH visible AS (
+WITH looked AS (SELECT *, regexp_matches(text, {_quoted(odd)}) AS odd FROM src),
+visible AS (
   SELECT id, field, text,
          CASE WHEN regexp_matches(text, '[\\x{{FE0F}}\\x{{200D}}\\x{{E0020}}-\\x{{E007F}}]') THEN regexp_replace(text, {_quoted(emoji)}, '', 'g') ELSE text END AS plain,
          regexp_replace(text, {_quoted(t["invisible"])}, '', 'g') AS seen
-  FROM src),
+  FROM looked WHERE odd),
 expanded AS (
   SELECT *, CASE WHEN regexp_matches(seen, {_quoted(t["several"])})
                  THEN array_to_string(list_transform(string_split(seen, ''), lambda c: coalesce(map({keys}, {values})[c], c)), '')
@@ -120,7 +129,8 @@ SELECT id, field,
        regexp_matches(plain, {_quoted(t["invisible"])}) OR regexp_matches(text, {_quoted(t["spaces"])})
          OR regexp_matches(text, {_quoted(t["compat"])}) OR regexp_matches(text, {_quoted(mixed)})
          OR nfc_normalize(seen) <> seen OR regexp_matches(joined, {_quoted(mixed)}) AS affected
-FROM composed"""
+FROM composed
+UNION ALL SELECT id, field, text, false FROM looked WHERE NOT odd"""
 
 
 _local = threading.local()

@@ -1,8 +1,8 @@
 """Problem 6: the paragraphs of a page's own article, without the boilerplate around them.
 
-Two passes over a page's lines. The first decides by links, elements set apart, sentence ends, length and the density of
-function words; what stays open are short lines, and the second gives these the label of their
-nearest decided neighbour.
+Two passes over a page's lines. The first decides by link density, elements set apart, sentence ends, length and the
+density of function words; what stays open are short lines and those with few function words, and the second gives
+these the label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -60,26 +60,37 @@ def _first_pass(line: Line, title: str) -> tuple[bool | None, bool]:
         return False, False
     if text[0] in "（(【[" and text[-1] in "）)】]":
         return False, False
-    if len(text) >= 2 * SHORT or (len(text) >= SHORT and stop_density(text) >= STOP_DENSITY):
+    if len(text) >= SHORT and stop_density(text) >= STOP_DENSITY:
         return True, True
     return None, False
 
 
+def _inherited(first: list[tuple[bool | None, bool]]) -> list[bool]:
+    """The label of each line: its own, or that of the nearest line that passes its label on; content where two
+    such lines are equally near and differ, and never content where there is none."""
+    n = len(first)
+    near = [(n, False)] * n
+    for order in (range(n), range(n - 1, -1, -1)):
+        last = None
+        for i in order:
+            label, passes = first[i]
+            if last is not None:
+                distance = abs(i - last)
+                if distance < near[i][0]:
+                    near[i] = distance, first[last][0]
+                elif distance == near[i][0]:
+                    near[i] = distance, near[i][1] or first[last][0]
+            if passes:
+                last = i
+    return [near[i][1] if label is None else label for i, (label, _) in enumerate(first)]
+
+
 def paragraphs(page: str) -> list[str]:
     """The main paragraphs of a page."""
     lines = lines_of(page)
     title = title_of(page)
-    first = [_first_pass(x, title) for x in lines]
-    sure = [j for j, (_, passes) in enumerate(first) if passes]
-    out = []
-    for i, (line, (label, _)) in enumerate(zip(lines, first)):
-        if label is None:
-            # of the decided lines, those at the least distance before and behind; a paragraph on either side is enough
-            near = [max((j for j in sure if j < i), default=None), min((j for j in sure if j > i), default=None)]
-            label = any(first[j][0] for j in near if j is not None) or first[i - 1][1] is False
-        if label:
-            out.append(line.text)
-    return out
+    labels = _inherited([_first_pass(x, title) for x in lines])
+    return [line.text for line, label in zip(lines, labels) if label]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from newsloom.llm import canonical, codes, leaks, main_text, names, near_duplicates, packing, pages, repeated_lines, sentences, spans, stories
+from newsloom.llm import canonical, codes, leaks, main_text, names, near_duplicates, packing, pages, repeated_lines, sentences, spans
 
 rng = random.Random(11)
 CHARS = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
@@ -123,6 +123,9 @@ def test_lines_and_main_text():
     assert main_text.paragraphs(PAGE) == ["第一段的內容是這樣的，因為 預算應該重新檢討。", "第二段也是這樣的，因為大家都說好。", "短句好！"]
     assert main_text.paragraphs("<body><h1>題</h1><p>本則影音已下架</p></body>") == []
     assert pages.texts_of("<p>a<p title='x>y'>b") == ["a", "b"] and pages.texts_of("<body>1 < 2<div") == ["1 < 2"]
+    # a short line between two decided ones, and one on a page where nothing is decided
+    assert main_text.paragraphs("<nav>首頁</nav><figcaption>圖說</figcaption><p>短句。</p><nav>更多</nav>") == []
+    assert main_text.paragraphs("<p>短句。</p><p>首頁</p>") == []
     nested = pages.lines_of('<body><div><a href="/n">一二三<a href="/t">四</a>五六</a></div></body>')
     assert nested[0].links == 1.0
 
@@ -145,7 +148,27 @@ def test_repeated_lines(spark, limit, monkeypatch):
     truth = {k: len(v) for k, v in seen.items() if len(v) >= 4 and len(v) >= 0.08 * len(of[k[0]])}
     assert {(r.company_id, r.line): r.pages for r in repeated_lines.repeated_lines(df).collect()} == truth
     freed = {r.idx: r.text for r in repeated_lines.freed_pages(df).collect()}
-    assert freed == {i: "\n".join(x for x in plain_lines(p) if (c, x) not in truth) for i, c, p in rows}
+    # page numbers are one line but for the number
+    assert freed == {i: "\n".join(x for x in plain_lines(p) if (c, x) not in truth and x != f"第{i}頁") for i, c, p in rows}
+
+
+@pytest.mark.parametrize("limit", [repeated_lines.BROADCAST_LINES, 0])
+def test_lines_that_differ_in_names_and_dates_go(spark, limit, monkeypatch):
+    monkeypatch.setattr(repeated_lines, "BROADCAST_LINES", limit)
+    rows = []
+    for i in range(60):
+        byline = f"記者{words(3)}／台北報導 2011-{i % 12 + 1:02}-{i % 28 + 1:02} {i % 24}:{i % 60:02}"
+        legal = "本站內容由編輯部提供" + ("" if i % 3 else "的") + "，讀者言論不代表本社的立場，如有侵權將於三個工作日內下架"
+        rows.append((i, 1, f"<body><p>{byline}</p><p>{words(40)}</p><p>{legal}</p><p>單獨{words(20)}</p></body>"))
+    df = spark.createDataFrame(rows, "idx int, company_id int, raw_xml string").repartition(3)
+    freed = {r.idx: r.text for r in repeated_lines.freed_pages(df).collect()}
+    assert freed == {i: "\n".join(plain_lines(p)[1::2]) for i, _, p in rows}
+    assert {r.line[:3] for r in repeated_lines.found_lines(df).collect()} == {"本站內"}
+
+
+def test_many_short_lines_take_linear_time():
+    first = [(None, False)] * 200_000 + [(True, True)]
+    assert all(main_text._inherited(first)) and not any(main_text._inherited(first[:-1]))
 
 
 CASES = {
@@ -278,34 +301,6 @@ def test_names(spark):
     assert pairs == {p for g in found for p in itertools.combinations(sorted(g), 2)}
 
 
-def test_stories(spark):
-    pool = [chr(0x5000 + 11 * i) for i in range(60)]
-    name = lambda: "".join(rng.sample(pool, 3))
-    rows, truth, n = [], {}, 0
-    for size in (7, 5, 12, 3):
-        bill, project, place, case = name(), name(), name() + "村", name()
-        kinds = [f"《{bill}條例》排入議程", f"{project}計畫只剩骨架", f"檢調赴{place}查扣帳冊", f"{case}案再添證人"]
-        ids = []
-        for _ in range(size):
-            n += 1
-            rows.append((n, f"{words(30)}。" + "。".join(k + "," + words(25) for k in rng.sample(kinds, 3)) + "。"))
-            ids.append(n)
-        if size >= 5:
-            truth |= dict.fromkeys(ids, ids[0])
-    for _ in range(40):
-        n += 1
-        common = rng.sample(["優惠方案", "招標案", "山區", "補償方案", "拆遷案", "老街市"], 2)
-        rows.append((n, words(40) + ",".join(words(20) + c for c in common) + f"。{words(30)}。"))
-    copied = next(t for i, t in rows if i == 2)
-    rows.append((n + 1, "快訊。" + copied))
-    truth[n + 1] = truth[2]
-    df = spark.createDataFrame(rows, "news_id int, article string")
-    assert {r.news_id: r.cluster_id for r in stories.story_members(df).collect()} == truth
-    typical = stories.story_clusters(df).collect()
-    assert {(r.cluster_id, r["size"]) for r in typical} == {(c, sum(1 for x in truth.values() if x == c)) for c in set(truth.values())}
-    assert all(truth[r.news_id] == r.cluster_id for r in typical) and {r["rank"] for r in typical} == {1, 2, 3}
-
-
 def test_hashes_of_lines(spark):
     df = spark.createDataFrame([(1, 1, PAGE)], "idx int, company_id int, raw_xml string")
     got = {r.line_md5 for r in main_text.main_line_hashes(df).collect()}

@@ -2,44 +2,70 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
-from .components import connected_components
 
-#: Longest name whose parts are compared with other names; a longer one only stands for itself.
-LONGEST = 64
 
+def _pieces(size: int) -> Column:
+    """The different parts of ``size`` characters of a name that has as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - size + 1), lambda i: F.substring(F.col("name"), i, size)))
 
-def _fold(names: pd.DataFrame) -> pd.DataFrame:
-    store: list[str] = []
+
+def containments(names: DataFrame) -> DataFrame:
+    """(inner, outer): all pairs of different names of which one stands within the other.
+
+    A name can only stand in those that hold each of its pairs of characters, so it is looked for where its rarest pair
+    is; a single character is looked for by itself. What is found is compared exactly, names of any length alike.
+    """
     out = []
-    for name in names.sort_values(["seq", "name"])["name"]:
-        home = next((c for c in store if name in c or c in name), None)
-        if home is None:
-            store.append(name)
-            home = name
-        out.append((name, home))
-    return pd.DataFrame(out, columns=["name", "canonical"])
+    for size, inner in ((2, names.where("length(name) > 1")), (1, names.where("length(name) = 1"))):
+        held = names.where(F.length("name") >= size).select("name", F.explode(_pieces(size)).alias("piece"))
+        common = held.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))
+        rarest = inner.select("name", F.explode(_pieces(size)).alias("piece")).join(common, "piece").groupBy("name").agg(F.min_by("piece", F.struct("df", "piece")).alias("piece"))
+        met = rarest.withColumnRenamed("name", "inner").join(held.withColumnRenamed("name", "outer"), "piece")
+        out.append(met.where("inner <> outer").where(F.contains("outer", "inner")).select("inner", "outer"))
+    return out[0].unionByName(out[1])
 
 
-def canonical_names(names: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
+def canonical_names(names: DataFrame, name: str = "name", seq: str = "seq", rounds: int = 1_000) -> DataFrame:
     """(name, canonical): in the order of ``seq`` (then of the name), a name takes the first stored name that contains it or that it
     contains; if there is none, it is stored itself. ``seq`` of a repeated name is its least. Null and empty names are left out.
 
-    The result depends on the order, but a name can only meet names that contain it or that it contains. So the fold runs
-    in each connected component of the containment graph, whose edges come from an equi-join of names with the parts of names.
+    A name is stored if no earlier name that it meets is stored. So those without an open earlier name are stored, what
+    comes later and meets them is not, and the same holds for what is left: the rounds decide all names in the
+    order of the fold without gathering them, as many at a time as do not depend on each other.
     """
-    firsts = names.where(F.col(name).isNotNull() & (F.col(name) != "")).groupBy(F.col(name).alias("name")).agg(F.min(seq).alias("seq"))
-    firsts = written(firsts)
-    length = F.length("name")
-    spans = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), length), lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: F.substring(F.col("name"), i, n)))))
-    parts = firsts.where(length <= LONGEST).select(F.col("name").alias("b"), spans.alias("a")).where("a <> b").distinct()
-    edges = parts.join(firsts.select(F.col("name").alias("a")), "a").unionByName(firsts.select(F.col("name").alias("a"), F.col("name").alias("b")))
-    groups = connected_components(edges).withColumnRenamed("node", "name")
-    return firsts.join(groups, "name").groupBy("component").applyInPandas(_fold, "name string, canonical string")
+    firsts = written(names.where(F.col(name).isNotNull() & (F.col(name) != "")).groupBy(F.col(name).alias("name")).agg(F.min(seq).alias("seq")))
+    place = F.struct("seq", "name")
+    inner, outer = firsts.select(F.col("name").alias("inner"), place.alias("p")), firsts.select(F.col("name").alias("outer"), place.alias("q"))
+    met = containments(firsts).join(inner, "inner").join(outer, "outer")
+    # from the earlier to the later name
+    links = written(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct())
+    stored = firsts.select("name").join(links.select(F.col("b").alias("name")), "name", "left_anti")
+    parts, left = [], links
+    for _ in range(rounds):
+        stored = written(stored)
+        parts.append(stored)
+        taken = left.join(stored.select(F.col("name").alias("a")), "a", "left_semi").select(F.col("b").alias("name")).distinct()
+        decided = stored.select("name").unionByName(taken)
+        following = written(left.join(decided.withColumnRenamed("name", "a"), "a", "left_anti").join(decided.withColumnRenamed("name", "b"), "b", "left_anti"))
+        # open names: those that met only names that are taken now have no link left
+        waiting = left.select(F.col("b").alias("name")).unionByName(left.select(F.col("a").alias("name"))).distinct().join(decided, "name", "left_anti")
+        stored = waiting.join(following.select(F.col("b").alias("name")), "name", "left_anti")
+        left = following
+        if stored.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"names are left open after {rounds} rounds")
+    kept = parts[0]
+    for part in parts[1:]:
+        kept = kept.unionByName(part)
+    kept = written(kept.select("name").join(firsts, "name"))
+    homes = links.join(kept.select(F.col("name").alias("a"), "seq"), "a").groupBy("b").agg(F.min(F.struct("seq", "a")).alias("h")).select(F.col("b").alias("name"), F.col("h.a").alias("canonical"))
+    others = homes.join(kept.select("name"), "name", "left_anti")
+    return kept.select("name", F.col("name").alias("canonical")).unionByName(others)
 
 
 def rename(opinions: DataFrame, canonical: DataFrame, person: str = "person") -> DataFrame:

@@ -37,7 +37,8 @@ def locate(articles: DataFrame, names: DataFrame, key: str = "news_id", text: st
         names = names.select(key, name).distinct().withColumn("name_seq", F.row_number().over(Window.partitionBy(key).orderBy(name)) - 1)
     wanted = names.where(F.col(name).isNotNull() & (F.col(name) != "")).select(key, F.col(name).alias("name"), "name_seq").dropDuplicates([key, "name"])
     joined = articles.select(key, F.col(text).alias("t")).where("t is not null").dropDuplicates([key]).join(wanted, key).where(F.contains("t", "name"))
-    pieces = joined.select(key, "name_seq", "name", F.posexplode(F.split(F.col("t"), F.concat(F.lit("\\Q"), F.replace(F.col("name"), F.lit("\\E"), F.lit("")), F.lit("\\E")), -1)).alias("n", "piece"))
+    plain = F.concat(F.lit("\\Q"), F.replace(F.col("name"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pieces = joined.select(key, "name_seq", "name", F.posexplode(F.split(F.col("t"), plain, -1)).alias("n", "piece"))
     w = Window.partitionBy(key, "name").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     ends = pieces.withColumn("start", (F.sum(F.length("piece")).over(w) + F.col("n") * F.length("name")).cast("int"))
     last = F.max("n").over(Window.partitionBy(key, "name"))
@@ -63,37 +64,19 @@ def surname_order(candidates: DataFrame, key: str = "news_id") -> DataFrame:
     return placed.withColumn("name_seq", F.row_number().over(order) - 1).drop("loser")
 
 
-def surname_order_exact(names: list[tuple[str, int]]) -> list[str]:
-    """The order that results from moving list items while walking over the same list, twice nested; names with their counts."""
-    items = [list(x) for x in names]
-    for one in items:
-        for two in items:
-            if one == two or one[0][:1] != two[0][:1]:
-                continue
-            later = one if one[1] < two[1] or (one[1] == two[1] and len(one[0]) > len(two[0])) else two
-            items.append(items.pop(items.index(later)))
-    return [x[0] for x in items]
+def expand_short(text: str, mentions: list[tuple[str, int, int]], candidates: list[str]) -> str:
+    """``text`` with each mention of one or two characters that is no candidate itself written out as the first
+    candidate with the same first character."""
+    full = {c[0]: c for c in reversed(candidates) if c}
+    known, out, done = set(candidates), [], 0
+    for name, start, end in sorted(mentions, key=lambda m: (m[1], m[2])):
+        if 0 < len(name) < 3 and name not in known and name[0] in full and start >= done:
+            out += [text[done:start], full[name[0]]]
+            done = end
+    return "".join([*out, text[done:]])
 
 
-def expand_short(text: str, mentions: list[tuple[str, int, int]], candidates: list[str], literal: bool = False) -> str:
-    """Replaces mentions of fewer than 3 characters by the first candidate with the same first character.
-
-    literal: every such candidate replaces in turn at the place of the first, as if none had been found yet.
-    """
-    spans = sorted(mentions, key=lambda m: m[1])
-    for i, (name, start, end) in enumerate(spans):
-        if name in candidates or len(name) >= 3 or not name:
-            continue
-        for full in (c for c in candidates if c[:1] == name[0]):
-            text = text[:start] + full + text[end:]
-            shift = len(full) - len(name)
-            spans[i + 1 :] = [(n, s + shift, e + shift) for n, s, e in spans[i + 1 :]]
-            if not literal:
-                break
-    return text
-
-
-def expand_short_names(articles: DataFrame, entities: DataFrame, key: str = "news_id", text: str = "article", literal: bool = False) -> DataFrame:
+def expand_short_names(articles: DataFrame, entities: DataFrame, key: str = "news_id", text: str = "article") -> DataFrame:
     """(key, article_coref, people): each article with short names written out, and its persons in order.
 
     An article without entities keeps its text and an empty list; one whose work fails comes with null in both.
@@ -110,7 +93,7 @@ def expand_short_names(articles: DataFrame, entities: DataFrame, key: str = "new
             for k, t, names, found in zip(pdf[key], pdf["t"], pdf["people"], pdf["mentions"]):
                 names = [] if names is None else list(names)
                 try:
-                    done = None if t is None else expand_short(t, [(m["text"], m["start"], m["end"]) for m in ([] if found is None else found)], names, literal)
+                    done = None if t is None else expand_short(t, [(m["text"], m["start"], m["end"]) for m in ([] if found is None else found)], names)
                     out.append((k, done, names))
                 except (TypeError, ValueError):
                     out.append((k, None, None))

@@ -57,13 +57,15 @@ def day_of(moment: str):
 
 
 def person_timeline(store: DataFrame) -> DataFrame:
-    """(person, total_cluster_number, opinions, first, last): what a person said on an issue, in the order of time; unknown times come last."""
-    item = F.struct(F.col("datetime").isNull().alias("late"), "datetime", "news_id", "opinion")
-    return store.groupBy("person", "total_cluster_number").agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["datetime"].alias("datetime"), x["news_id"].alias("news_id"), x["opinion"].alias("opinion"))).alias("opinions"),
-        F.min("datetime").alias("first"),
-        F.max("datetime").alias("last"),
-    )
+    """(person, total_cluster_number, place, datetime, news_id, opinion): what each person said on an issue, numbered in the
+    order of time, equal times by news_id and opinion; unknown times come last. A row an opinion, so nobody's opinions are gathered."""
+    order = Window.partitionBy("person", "total_cluster_number").orderBy(F.asc_nulls_last("datetime"), "news_id", "opinion")
+    return store.select("person", "total_cluster_number", F.row_number().over(order).alias("place"), "datetime", "news_id", "opinion")
+
+
+def person_slices(store: DataFrame) -> DataFrame:
+    """(person, total_cluster_number, opinions, first, last): how much a person said on an issue, and when."""
+    return store.groupBy("person", "total_cluster_number").agg(F.count(F.lit(1)).alias("opinions"), F.min("datetime").alias("first"), F.max("datetime").alias("last"))
 
 
 def person_on_issue(store: DataFrame, clusters: DataFrame, name: str, date: str, little: int) -> DataFrame:

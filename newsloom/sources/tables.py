@@ -6,7 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,12 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
-    The copy is columnar and compressed, survives the loss of executors and is removed when
-    the driver's Python ends. Use it where a frame is read several times.
+    The copy is columnar and compressed, survives the loss of executors and is removed, on whatever
+    file system it lies, when the driver's JVM ends. Use it where a frame is read several times.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if urlparse(path).scheme in ("", "file"):
-        atexit.register(shutil.rmtree, urlparse(path).path, ignore_errors=True)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -56,6 +56,13 @@ def test_entities_equal_the_sequential_fold(spark):
     df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, seq int")
     got = {r.name: r.canonical for r in entities.canonical_names(df).collect()}
     assert got == fold(names)
+    # names of any length, and chains in which each name meets the next
+    long = "長" * 80 + "名字"
+    chain = ["".join(chr(0x4E00 + i + k) for k in range(3 if i % 2 else 2)) for i in range(40)]
+    for names in ([long, "名字", "長長"], ["名字", long, "字"], chain, chain[::-1], ["一"] + [f"一{c}" for c in "甲乙丙"] + ["乙"]):
+        df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, seq int")
+        assert {r.name: r.canonical for r in entities.canonical_names(df).collect()} == fold(names)
+    assert entities.canonical_names(df.limit(0)).count() == 0
     opinions = spark.createDataFrame([(1, 0, "小明", "2022-01-01 10:00"), (1, 0, "小明", None), (2, 0, "無名", "2022-01-02 10:00")], "news_id int, ord int, person string, datetime string")
     renamed = entities.rename(opinions, spark.createDataFrame([("小明", "王小明")], "name string, canonical string"))
     assert {r.person for r in renamed.collect()} == {"王小明", "無名"}
@@ -134,7 +141,8 @@ def test_views(spark):
     assert lists == {1: ["a", "b"], 2: [], 3: []}
     assert views.day_view(news, "2022-01-02", "last").count() == 3 and views.day_view(news, "2022-01-02").count() == 0
     store = spark.createDataFrame([("王", 1, "2022-01-02 09:00", 5, "b"), ("王", 1, None, 6, "c"), ("王", 1, "2022-01-01 09:00", 4, "a")], "person string, total_cluster_number int, datetime string, news_id int, opinion string")
-    assert [o.opinion for o in views.person_timeline(store).first().opinions] == ["a", "b", "c"]
+    assert [r.opinion for r in views.person_timeline(store).orderBy("place").collect()] == ["a", "b", "c"]
+    assert tuple(views.person_slices(store).first()) == ("王", 1, 3, "2022-01-01 09:00", "2022-01-02 09:00")
     clusters = spark.createDataFrame([("2022-01-01", 0, "題", 1)], "date string, little_cluster_number int, little_cluster_title string, total_cluster_number int")
     assert views.person_on_issue(store, clusters, "王", "2022-01-01", 0).count() == 3 and views.person_on_issue(store, clusters, "王", "2022-01-09", 0).count() == 0
     assert str(store.select(views.day_of("datetime")).first()[0]) == "2022-01-02"

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.literals import opinions_of
-from ..operators import clauses, entities, evaluation, grouping, mentions, quotes, sentiment, topics, views
+from ..operators import clauses, entities, evaluation, grouping, mentions, prepare, quotes, sentiment, topics, views
+from ..sources.tables import written
 from .registry import Registry, table
 
 R = Registry()
@@ -180,10 +181,11 @@ def cluster_list(spark, sf_dir):
     return views.cluster_list(_flagged(spark, sf_dir)).select("date", "topic", "represent_news_id", "represent_title", F.array_join("article_list.news_id", ",").alias("others"))
 
 
-@R.add(f"SELECT n.date, n.news_id, count(s.ord) AS opinions, coalesce(string_agg(s.person, '|' ORDER BY s.ord), '') AS people FROM {NEWS} n LEFT JOIN {STORE} s USING (news_id) GROUP BY n.date, n.news_id")
+@R.add(f"SELECT n.date, n.news_id, coalesce(string_agg(coalesce(s.person, '') || ':' || coalesce(s.verb, '') || ':' || coalesce(s.opinion, ''), '|' ORDER BY s.ord) FILTER (s.news_id IS NOT NULL), '') AS opinions FROM {NEWS} n LEFT JOIN {STORE} s USING (news_id) GROUP BY n.date, n.news_id".replace("s.news_id IS NOT NULL", "s.ord IS NOT NULL"))
 def article_opinions(spark, sf_dir):
     rows = _store(spark, sf_dir).withColumns({"negative_score": F.lit(0), "positive_score": F.lit(0)})
-    return views.article_opinions(_news(spark, sf_dir), rows).select("date", "news_id", F.size("opinions").cast("long").alias("opinions"), F.array_join("opinions.person", "|").alias("people"))
+    said = F.transform("opinions", lambda o: F.concat(F.coalesce(o["person"], F.lit("")), F.lit(":"), F.coalesce(o["verb"], F.lit("")), F.lit(":"), F.coalesce(o["opinion"], F.lit(""))))
+    return views.article_opinions(_news(spark, sf_dir), rows).select("date", "news_id", F.array_join(said, "|").alias("opinions"))
 
 
 @R.add(f"SELECT s.news_id, CAST(s.ord AS INTEGER) AS ord, s.person, s.verb, s.opinion FROM {STORE} s JOIN (SELECT DISTINCT news_id FROM article_page WHERE opinions IS NOT NULL) USING (news_id)")
@@ -219,13 +221,42 @@ def topic_title(spark, sf_dir):
     return topics.with_topic_title(news, titles, "slot").select("news_id", "represent_title")
 
 
-@R.add(
-    f"""SELECT person, total_cluster_number, count(*) AS opinions, min(datetime) AS first, max(datetime) AS last FROM (
-    SELECT s.person, s.datetime, c.total_cluster_number FROM {STORE} s LEFT JOIN (SELECT little_cluster_title, arg_max(total_cluster_number, (date, little_cluster_number)) AS total_cluster_number FROM {CLUSTERS} GROUP BY 1) c ON s.represent_title = c.little_cluster_title) GROUP BY ALL"""
-)
+ISSUED = f"(SELECT s.person, s.datetime, s.news_id, s.ord, s.opinion, c.total_cluster_number FROM {STORE} s LEFT JOIN (SELECT little_cluster_title, arg_max(total_cluster_number, (date, little_cluster_number)) AS total_cluster_number FROM {CLUSTERS} GROUP BY 1) c ON s.represent_title = c.little_cluster_title)"
+
+
+def _issued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.total_by_title(_store(spark, sf_dir), _clusters(spark, sf_dir))
+
+
+@R.add(f"SELECT person, total_cluster_number, CAST(row_number() OVER (PARTITION BY person, total_cluster_number ORDER BY datetime NULLS LAST, news_id, opinion) AS INTEGER) AS place, datetime, news_id, opinion FROM {ISSUED}")
 def person_timeline(spark, sf_dir):
-    rows = topics.total_by_title(_store(spark, sf_dir), _clusters(spark, sf_dir))
-    return views.person_timeline(rows).select("person", "total_cluster_number", F.size("opinions").cast("long").alias("opinions"), "first", "last")
+    return views.person_timeline(_issued(spark, sf_dir))
+
+
+@R.add(f"SELECT person, total_cluster_number, count(*) AS opinions, min(datetime) AS first, max(datetime) AS last FROM {ISSUED} GROUP BY ALL")
+def person_slices(spark, sf_dir):
+    return views.person_slices(_issued(spark, sf_dir))
+
+
+# The issue of the cluster that holds most of them, and who says most on it.
+MOST = f"(SELECT person, total_cluster_number AS issue FROM {ISSUED} WHERE person <> '' AND total_cluster_number IS NOT NULL GROUP BY ALL ORDER BY count(*) DESC, person, issue LIMIT 1)"
+
+
+@R.add(f"SELECT i.person, i.total_cluster_number, i.datetime, i.news_id, i.ord, i.opinion FROM {ISSUED} i JOIN {MOST} m ON i.person = m.person AND i.total_cluster_number = m.issue")
+def person_on_issue(spark, sf_dir):
+    rows, clusters = _issued(spark, sf_dir), _clusters(spark, sf_dir)
+    most = rows.where("person <> '' and total_cluster_number is not null").groupBy("person", "total_cluster_number").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "person", "total_cluster_number").first()
+    if most is None:
+        return rows.select("person", "total_cluster_number", "datetime", "news_id", "ord", "opinion").limit(0)
+    # any cluster of the issue leads to it, if its number on its day belongs to no other one
+    asked = clusters.where(F.col("total_cluster_number") == most.total_cluster_number).orderBy("date", "little_cluster_number").first()
+    found = views.person_on_issue(rows, clusters, most.person, asked.date, asked.little_cluster_number)
+    return found.select("person", "total_cluster_number", "datetime", "news_id", "ord", "opinion")
+
+
+@R.add(f"SELECT CAST(substr(datetime, 1, 10) AS DATE) AS day, count(*) AS opinions FROM {STORE} GROUP BY ALL")
+def opinion_days(spark, sf_dir):
+    return _store(spark, sf_dir).groupBy(views.day_of("datetime").alias("day")).agg(F.count(F.lit(1)).alias("opinions"))
 
 
 @R.add(f"SELECT article, a, b, round(similarity, 6) AS similarity FROM {PAIRS} WHERE similarity > 0.2")
@@ -238,12 +269,9 @@ def paraphrase_dedup(spark, sf_dir):
     return grouping.without_paraphrases(_vectors(spark, sf_dir), "article", "vec_id", "embedding", "words", 0.3).select("article", "vec_id")
 
 
-@R.add(
-    f"""WITH two AS (SELECT news_id FROM {STORE} WHERE length(opinion) BETWEEN 11 AND 149 GROUP BY news_id HAVING count(*) = 2)
-    SELECT news_id, person, count(*) AS opinions FROM {STORE} WHERE length(opinion) BETWEEN 11 AND 149 GROUP BY news_id, person"""
-)
+@R.add(f"SELECT news_id, person, string_agg(opinion, '|' ORDER BY ord, verb, opinion) AS opinions FROM {STORE} WHERE length(opinion) BETWEEN 11 AND 149 GROUP BY news_id, person")
 def opinions_by_speaker(spark, sf_dir):
-    return grouping.by_speaker(_store(spark, sf_dir)).select("news_id", "person", F.size("opinions").cast("long").alias("opinions"))
+    return grouping.by_speaker(_store(spark, sf_dir)).select("news_id", "person", F.array_join("opinions.opinion", "|").alias("opinions"))
 
 
 PAIRED = VECTORS.replace("floor(vec_id / 8)", "floor(vec_id / 2)")
@@ -266,24 +294,83 @@ def kmeans_issue(spark, sf_dir):
     return grouping.sweep_clusters(_vectors(spark, sf_dir), "vec_id", "embedding")
 
 
-@R.add()
-def entity_resolve(spark, sf_dir):
+# The fold as it is defined: one name after the other, with the list of those stored so far.
+FOLD = f"""WITH RECURSIVE named AS (SELECT person AS name, min(news_id * 1000 + ord) AS seq FROM {STORE} WHERE person <> '' GROUP BY person),
+    numbered AS (SELECT name, row_number() OVER (ORDER BY seq, name) AS n FROM named),
+    fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS store, '' AS name, '' AS canonical
+      UNION ALL SELECT x.n, CASE WHEN x.home IS NULL THEN list_append(x.store, x.name) ELSE x.store END, x.name, coalesce(x.home, x.name)
+      FROM (SELECT m.n, m.name, f.store, list_filter(f.store, lambda c: contains(c, m.name) OR contains(m.name, c))[1] AS home FROM fold f JOIN numbered m ON m.n = f.n + 1) x)"""
+
+
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _store(spark, sf_dir).select("person", (F.col("news_id").cast("long") * 1000 + F.col("ord")).alias("seq"))
     return entities.canonical_names(rows, "person", "seq")
 
 
+@R.add(f"{FOLD} SELECT name, canonical FROM fold WHERE n > 0")
+def entity_resolve(spark, sf_dir):
+    return _canonical(spark, sf_dir)
+
+
+@R.add(f"{FOLD} SELECT s.news_id, s.ord, coalesce(f.canonical, s.person) AS person FROM {STORE} s LEFT JOIN fold f ON f.n > 0 AND f.name = s.person")
+def entity_rename(spark, sf_dir):
+    return entities.rename(_store(spark, sf_dir).select("news_id", "ord", "person"), _canonical(spark, sf_dir))
+
+
 @R.add(f"SELECT person, verb, opinion, news_id, represent_title, datetime FROM {STORE}")
 def store_append(spark, sf_dir):
     rows = table(spark, sf_dir, "person_store", "person", "verb", "opinion", "ord", "news_id", "represent_title", "datetime")
     return entities.store_rows(rows)
 
 
-@R.add(f"SELECT date, little_cluster_number, little_cluster_title, total_cluster_number FROM {CLUSTERS}")
+@R.add(f"SELECT date, little_cluster_number, little_cluster_title, CASE WHEN date IN (SELECT min(date) FROM {CLUSTERS} UNION ALL SELECT max(date) FROM {CLUSTERS}) THEN total_cluster_number + 100 ELSE total_cluster_number END AS total_cluster_number FROM {CLUSTERS}")
 def clusters_append(spark, sf_dir):
+    """All days but the last are known; the first comes again with other numbers, together with the last."""
     rows = _clusters(spark, sf_dir)
-    first = rows.agg(F.min("date").alias("d"))
-    today = rows.join(F.broadcast(first), F.col("date") == F.col("d"), "left_semi")  # one row
-    return entities.append_clusters(rows, today)
+    ends = rows.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    placed = rows.crossJoin(F.broadcast(ends))  # one row
+    again = placed.where("date in (first, last)").withColumn("total_cluster_number", F.col("total_cluster_number") + 100)
+    return entities.append_clusters(placed.where("date < last").drop("first", "last"), again.drop("first", "last"))
+
+
+@R.add(f"SELECT topic, min(news_id) AS topic_represent_article FROM {FLAGGED} WHERE rep GROUP BY topic")
+def topic_representative_rows(spark, sf_dir):
+    return topics.representative_rows(_flagged(spark, sf_dir))
+
+
+@R.add(f"SELECT date, topic, string_agg(ner || '=' || cnt, '|' ORDER BY ner) AS entities FROM {TOPIC_PEOPLE} GROUP BY ALL")
+def topic_entity_map(spark, sf_dir):
+    maps = topics.as_map(_topic_counts(spark, sf_dir), "date", "topic")
+    pairs = F.transform(F.array_sort(F.map_keys("topic_ner_dic")), lambda k: F.concat(k, F.lit("="), F.element_at("topic_ner_dic", k).cast("string")))
+    return maps.select("date", "topic", F.array_join(pairs, "|").alias("entities"))
+
+
+TAGGED = f"(SELECT news_id, name, CASE length(name) % 4 WHEN 0 THEN 'ORG' WHEN 1 THEN 'DATE' WHEN 2 THEN 'CARDINAL' ELSE 'PERSON' END AS tag, start FROM {MENTIONS})"
+
+
+@R.add(f"SELECT news_id, coalesce(string_agg(name, '|' ORDER BY start, name) FILTER (tag NOT IN ('DATE', 'CARDINAL')), '') AS topical FROM {TAGGED} GROUP BY news_id")
+def topical_entities(spark, sf_dir):
+    tag = F.element_at(F.array(F.lit("ORG"), F.lit("DATE"), F.lit("CARDINAL"), F.lit("PERSON")), F.length("name") % 4 + 1)
+    rows = _mentions(spark, sf_dir).groupBy("news_id").agg(F.array_sort(F.collect_list(F.struct("start", F.col("name").alias("text"), tag.alias("tag")))).alias("found"))  # the mentions of one article
+    kept = prepare.topical("found")
+    return rows.select("news_id", F.array_join(F.transform(kept, lambda x: x["text"]), "|").alias("topical"))
+
+
+@R.add(f"SELECT news_id, row_number() OVER (PARTITION BY news_id ORDER BY ord) - 1 AS gold_id, person, CASE WHEN ord % 3 = 1 THEN NULL ELSE verb END AS verb, opinion FROM {STORE} WHERE person IS NOT NULL AND ord % 4 <> 2 AND opinion IS NOT NULL")
+def gold_triples(spark, sf_dir):
+    """Labelled spans as an annotator makes them: some opinions without a verb, some without a person, and persons that stand elsewhere."""
+    rows = _store(spark, sf_dir).where("opinion is not null").withColumn("at", F.col("ord") * 1000)
+    span = lambda first, last, text, label: F.struct((F.col("at") + first).alias("start"), (F.col("at") + last).alias("end"), F.col(text).alias("text"), F.lit(label).alias("label"))
+    nothing = lambda s, keep: F.when(keep, s)
+    spans = F.array(
+        span(0, 900, "opinion", "opinion"),
+        nothing(span(-1, 4, "person", "person"), F.col("person").isNotNull() & (F.col("ord") % 4 != 2)),
+        nothing(span(30, 36, "represent_title", "person"), F.col("ord") % 4 != 2),
+        nothing(span(5, 7, "verb", "verb"), F.col("ord") % 3 != 1),
+        span(-9, -3, "person", "person"),
+    )
+    labels = rows.select("news_id", F.explode(spans).alias("s")).where("s is not null").select("news_id", "s.*").where("text is not null")
+    return evaluation.gold_triples(labels)
 
 
 GOLD = f"(SELECT news_id, CAST(ord AS INTEGER) AS gold_id, person, opinion FROM {STORE})"
@@ -297,7 +384,7 @@ SCORES = f"""(SELECT news_id, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp +
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    predicted = _attributed(spark, sf_dir).select("news_id", F.col("ord").alias("pred_id"), "person", "opinion")
+    predicted = written(_attributed(spark, sf_dir).select("news_id", F.col("ord").alias("pred_id"), "person", "opinion"))
     return predicted, _store(spark, sf_dir).select("news_id", F.col("ord").alias("gold_id"), "person", "opinion")
 
 
@@ -321,19 +408,34 @@ def hit_miss(spark, sf_dir):
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flat stand-in for a parser: each opinion's sentence as a clause of agent, verb and the rest."""
-    rows = _store(spark, sf_dir).where("person <> ''")
-    leaf = lambda i, pos, role, word: F.struct(F.lit(i).alias("node_id"), F.lit(0).alias("parent_id"), F.lit(pos).alias("pos"), F.lit(role).alias("role"), word.alias("word"), F.lit("").alias("delim"))
-    root = F.struct(F.lit(0).alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.lit("S").alias("pos"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("word"), F.lit("").alias("delim"))
-    tree = F.array(root, leaf(1, "Nba", "agent", F.col("person")), leaf(2, "VE2", "Head", F.col("verb")), leaf(3, "VP", "goal", F.col("opinion")))
+    """A stand-in for a parser: each opinion as a clause of one of four shapes.
+
+    0: agent, verb, goal; 1: a second agent behind the verb; 2: a verb of the wide kind; 3: an agent of two words and a second verb of the wide kind.
+    """
+    rows = _store(spark, sf_dir).where("person <> '' and verb is not null and opinion is not null").withColumn("shape", F.pmod(F.col("news_id") + F.col("ord"), F.lit(4)))
+
+    def node(i: int, parent: int | None, pos: str, role: str | None, word, delim: str = ""):
+        return F.struct(F.lit(i).alias("node_id"), F.lit(parent).cast("int").alias("parent_id"), F.lit(pos).alias("pos"), F.lit(role).cast("string").alias("role"), (F.lit(None).cast("string") if word is None else word).alias("word"), F.lit(delim).alias("delim"))
+
+    root, person, verb, opinion = node(0, None, "S", None, None), F.col("person"), F.col("verb"), F.col("opinion")
+    shapes = [
+        F.array(root, node(1, 0, "Nba", "agent", person), node(2, 0, "VE2", "Head", verb), node(3, 0, "VP", "goal", opinion, ",")),
+        F.array(root, node(1, 0, "Nba", "agent", person), node(2, 0, "VE2", "Head", verb), node(3, 0, "Nh", "agent", F.lit("他")), node(4, 0, "VP", "goal", opinion, "。")),
+        F.array(root, node(1, 0, "Nba", "agent", person), node(2, 0, "VC2", "Head", verb), node(3, 0, "VP", "goal", opinion, "。")),
+        F.array(root, node(1, 0, "NP", "agent", None), node(2, 1, "Nab", "property", F.lit("代表")), node(3, 1, "Nba", "Head", person), node(4, 0, "VE2", "Head", verb), node(5, 0, "VE11", "Head", F.lit("說")), node(6, 0, "VP", "goal", opinion, ";")),
+    ]
+    tree = F.when(F.col("shape") == 0, shapes[0]).when(F.col("shape") == 1, shapes[1]).when(F.col("shape") == 2, shapes[2]).otherwise(shapes[3])
     return rows.select("news_id", F.col("ord").alias("clause_id"), F.explode(tree).alias("n")).select("news_id", "clause_id", "n.*")
 
 
-PARSED = f"(SELECT news_id, ord AS clause_id, verb, person AS agent, coalesce(sum(length(person) + length(verb) + length(opinion)) OVER (PARTITION BY news_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {STORE} WHERE person <> '')"
-CLAUSES = f"SELECT news_id, clause_id, verb, CAST(s + length(agent) AS INTEGER) AS verb_start, CAST(s + length(agent) + length(verb) AS INTEGER) AS verb_end, agent, CAST(s AS INTEGER) AS agent_start, CAST(s + length(agent) AS INTEGER) AS agent_end FROM {PARSED}"
+SHAPED = f"(SELECT news_id, ord, person, verb, opinion, (news_id + ord) % 4 AS shape FROM {STORE} WHERE person <> '' AND verb IS NOT NULL AND opinion IS NOT NULL)"
+SPOKEN = f"""(SELECT *, coalesce(sum(length(spoken)) OVER (PARTITION BY news_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+    SELECT news_id, ord, shape, verb, CASE shape WHEN 3 THEN '代表' ELSE '' END || person AS agent,
+      CASE shape WHEN 3 THEN '代表' ELSE '' END || person || verb || CASE shape WHEN 1 THEN '他' WHEN 3 THEN '說' ELSE '' END || opinion || CASE shape WHEN 0 THEN ',' WHEN 3 THEN ';' ELSE '。' END AS spoken FROM {SHAPED}))"""
+CLAUSES = f"SELECT news_id, ord AS clause_id, verb, CAST(s + length(agent) AS INTEGER) AS verb_start, CAST(s + length(agent) + length(verb) AS INTEGER) AS verb_end, agent, CAST(s AS INTEGER) AS agent_start, CAST(s + length(agent) AS INTEGER) AS agent_end FROM {SPOKEN}"
 
 
-@R.add(CLAUSES)
+@R.add(f"{CLAUSES} WHERE shape IN (0, 3)")
 def clause_pairs_v1(spark, sf_dir):
     return clauses.clause_pairs(_nodes(spark, sf_dir))
 
@@ -343,11 +445,23 @@ def clause_pairs_v2(spark, sf_dir):
     return clauses.clause_pairs(_nodes(spark, sf_dir), strict=False)
 
 
-@R.add()
+NEAR = lambda at, mark: f"CASE WHEN strpos(substr(t, CAST({at} AS BIGINT) + 1, 3), '{mark}') > 0 THEN {at} + strpos(substr(t, CAST({at} AS BIGINT) + 1, 3), '{mark}') ELSE {at} END"
+
+
+@R.add(
+    f"""WITH texts AS (SELECT news_id, string_agg(spoken, '' ORDER BY ord) AS t FROM {SPOKEN} GROUP BY news_id),
+    cut AS (SELECT news_id, t, unnest(regexp_split_to_array(t, '[。；;]')) AS piece, unnest(range(1, len(regexp_split_to_array(t, '[。；;]')) + 1)) AS n FROM texts),
+    bounds AS (SELECT news_id, t, n, sum(length(piece)) OVER (PARTITION BY news_id ORDER BY n) + n - 1 AS r FROM cut),
+    sentences AS (SELECT *, coalesce(lag(r) OVER (PARTITION BY news_id ORDER BY n), 0) AS l FROM bounds),
+    inside AS (SELECT c.*, x.t, x.l, x.r FROM ({CLAUSES}) c JOIN sentences x ON c.news_id = x.news_id AND x.l - 3 < c.agent_start AND c.verb_end <= x.r WHERE c.agent NOT IN ('你', '妳', '我', '他', '她')),
+    first_mark AS (SELECT *, {NEAR('verb_end', ',')} AS b1 FROM inside), marked AS (SELECT *, {NEAR('b1', '」')} AS b FROM first_mark),
+    named AS (SELECT m.news_id, m.clause_id, m.l, m.r, m.b, m.verb, m.t, arg_min(p.name, p.name_seq) AS person FROM marked m JOIN {PEOPLE} p ON m.news_id = p.news_id AND contains(m.agent, p.name) WHERE m.r - m.b >= 10 GROUP BY ALL)
+    SELECT news_id, CAST(row_number() OVER (PARTITION BY news_id ORDER BY clause_id, l) - 1 AS INTEGER) AS ord, person, verb, substr(t, CAST(b AS BIGINT) + 1, CAST(r - b AS BIGINT)) AS opinion, CAST(b AS INTEGER) AS "begin", CAST(r AS INTEGER) AS "end" FROM named"""
+)
 def clause_opinion(spark, sf_dir):
-    rows = _store(spark, sf_dir).where("person <> ''")
-    text = rows.groupBy("news_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat("person", "verb", "opinion").alias("t")))), lambda x: x["t"]), "").alias("article"))
-    return clauses.clause_opinions(text, clauses.clause_pairs(_nodes(spark, sf_dir)), _people(spark, sf_dir))
+    nodes = _nodes(spark, sf_dir)
+    words = nodes.groupBy("news_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clause_id", "node_id", F.concat(F.coalesce("word", F.lit("")), "delim").alias("w")))), lambda x: x["w"]), "").alias("article"))  # the words of one article
+    return clauses.clause_opinions(words, clauses.clause_pairs(nodes, strict=False), _people(spark, sf_dir))
 
 
 QUERIES, ORACLE = R.queries, R.oracle

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import news, opinions, relational
+from . import news, opinions, relational, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (news, opinions, relational):
+for _module in (news, opinions, relational, storage):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 

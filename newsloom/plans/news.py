@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,16 @@ def space_restore(spark, sf_dir):
     return rows.select("news_id", F.trim(X.restore_spaces(X.strip_spaces("article"), X.space_index("article"))).alias("restored"))
 
 
-@R.add()
+def _nfkc_sql() -> str:
+    """Each character's compatibility form, from the Unicode tables of Python, and then the canonical composition."""
+    # Hangul syllables and other canonical forms are left to nfc_normalize
+    forms = {c: n for c in map(chr, range(0xA0, 0x30000)) if not 0xAC00 <= ord(c) < 0xE000 and (n := unicodedata.normalize("NFKD", c)) != c and n != unicodedata.normalize("NFD", c)}
+    keys, values = ("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]" for xs in (forms, forms.values()))
+    form = f"nfc_normalize(array_to_string(list_transform(string_split(text, ''), lambda c: coalesce(map({keys}, {values})[c], c)), ''))"
+    return f"SELECT doc_id, trim(regexp_replace({form}, '{WS}+', ' ', 'g')) AS normalised FROM documents"
+
+
+@R.add(_nfkc_sql())
 def nfkc_text(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.nfkc("text").alias("normalised"))
 

@@ -1,10 +1,11 @@
 """Problem 3: variant spellings of the same person or organisation.
 
 Every spelling is written in canonical form and given keys (without titles, white space, order of parts).
-Keys are joined by prefix-filtered set similarity over their q-grams; candidates pass if they differ
-in one of a few ways: a character that regularly stands for the other one across all names, two neighbours
-swapped, a letter written twice, an organisation's name shortened. Short forms that a name alone doesn't explain
-(nicknames, surname with title, initials, acronyms) are read from the articles that introduce them.
+Keys are joined by prefix-filtered set similarity over their q-grams, and verified by a soft similarity of their tokens
+(ideographs, or words), in which rare tokens count more: tokens are alike as far as one looks like a slip of the
+other, which for ideographs is learned from all names (a character that regularly stands for the other one). Short forms
+that a name alone doesn't explain (nicknames, surname with title, initials, acronyms) are read from the articles that
+introduce them.
 """
 
 from __future__ import annotations
@@ -23,8 +24,15 @@ from ..sources.tables import written
 from . import codes
 from .canonical import canonical_texts
 
-#: Least share of q-grams that two keys must have in common to be compared.
-SIMILARITY = 0.5
+#: Least share of q-grams that two keys must have in common to be compared: pairs of letters, and pairs of ideographs.
+SIMILARITY, PAIR_SIMILARITY = 0.5, 0.2
+#: Least weighted similarity of two spellings of one name, in ideographs and in words, and the likeness of two ideographs of which one regularly
+#: stands for the other.
+ALIKE, ALIKE_WORDS, SOFT = 0.9, 0.8, 0.9
+#: Least likeness of two words to count at all.
+WORD = 0.7
+#: Ideographs up to this distance form pairs.
+NEAR = 8
 #: Least regularity of a differing character: the share of the names with it that also exist with the other one.
 REGULAR = 0.5
 #: Least share of a differing character's evidence in which one spelling is at least twice as frequent as the other:
@@ -182,8 +190,12 @@ def kind_of(key: str) -> str:
 
 
 def grams(key: str) -> list[str]:
-    """q-grams of a key: ideographs (numbered when repeated), or pairs of letters in each word."""
-    parts = list(key.replace("·", "")) if _CJK.search(key) else [f"{w}"[i : i + 2] for w in sorted(f"^{x}$" for x in key.split()) for i in range(len(w) - 1)]
+    """q-grams of a key: pairs of near ideographs, whatever their order, or pairs of neighbouring letters in each word; numbered when repeated."""
+    if _CJK.search(key):
+        letters = key.replace("·", "")
+        parts = ["".join(sorted((x, y))) for i, x in enumerate(letters) for y in letters[i + 1 : i + 1 + NEAR]]
+    else:
+        parts = [w[i : i + 2] for w in sorted(f"^{x}$" for x in key.split()) for i in range(len(w) - 1)]
     seen: Counter = Counter()
     out = []
     for p in parts:
@@ -192,52 +204,128 @@ def grams(key: str) -> list[str]:
     return out
 
 
+def tokens(key: str) -> list[str]:
+    return list(key.replace("·", "")) if _CJK.search(key) else key.split()
+
+
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key, gram, size = [], [], []
+        key, gram, size, least = [], [], [], []
         for k in batch.column("key").to_pylist():
             if kind_of(k) == "by title":
                 continue
             g = grams(k)
+            least += [PAIR_SIMILARITY if _CJK.search(k) else SIMILARITY] * len(g)
             key += [k] * len(g)
             gram += g
             size += [len(g)] * len(g)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(gram, pa.string()), pa.array(size, pa.int32())], names=["key", "gram", "size"])
-
-
-def difference(a: str, b: str) -> tuple[str, str, str] | None:
-    """How two keys differ: ('sub', x, y) one character x for y, ('swap', ...), ('twice', ...) a letter written twice,
-    ('short', ...) one shortens the other by leaving characters out; None if they differ otherwise."""
-    if len(a) == len(b):
-        at = [i for i, (x, y) in enumerate(zip(a, b)) if x != y]
-        if len(at) == 1:
-            # persons with one given name and different surnames are common, misspelt surnames are not
-            return None if at[0] == 0 and kind_of(a) == "han" else ("sub", a[at[0]], b[at[0]])
-        if len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]] and (at[0] > 0 or not _CJK.search(a)):
-            return "swap", "", ""
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(gram, pa.string()), pa.array(size, pa.int32()), pa.array(least, pa.float64())], names=["key", "gram", "size", "least"])
+
+
+def word_likeness(a: str, b: str) -> float:
+    """1 less the share of letters that are changed, left out, put in or swapped with their neighbour."""
+    if a == b:
+        return 1.0
+    longest = max(len(a), len(b))
+    if not a or not b or min(len(a), len(b)) < WORD * longest:
+        return 0.0
+    before, last = [], list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row = [i + 1]
+        for j, y in enumerate(b):
+            least = min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y))
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                least = min(least, before[j - 1] + 1)
+            row.append(least)
+        before, last = last, row
+    return 1 - last[-1] / longest
+
+
+def _in_order(a: list[str], b: list[str], weight_a: list[float], weight_b: list[float], soft: bool) -> float:
+    """The greatest weight of tokens that two lists have in common in the same order, neighbours being free to swap.
+    soft: where all others agree, the one that differs is a slip."""
+    alike = lambda x, y: 1.0 if x == y else SOFT if soft else 0.0
+    rows = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            most = max(rows[i - 1][j], rows[i][j - 1], rows[i - 1][j - 1] + alike(x, y) * (weight_a[i - 1] + weight_b[j - 1]) / 2)
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                most = max(most, rows[i - 2][j - 2] + (weight_a[i - 1] + weight_a[i - 2] + weight_b[j - 1] + weight_b[j - 2]) / 2)
+            rows[i][j] = most
+    return rows[-1][-1]
+
+
+def soft_similarity(a: list[str], b: list[str], weight_a: list[float], weight_b: list[float], soft: bool, latin: bool) -> float:
+    """The weight that the tokens of two names have in common, soft tokens in part, by the mean weight of both names."""
+    total = (sum(weight_a) + sum(weight_b)) / 2
+    if total <= 0:
+        return 0.0
+    if not latin:
+        return _in_order(a, b, weight_a, weight_b, soft) / total
+    # each word with its best partner that is left, the likest first
+    pairs = sorted(((s, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := word_likeness(x, y)) >= WORD), key=lambda t: (-t[0], t[1], t[2]))
+    used_a, used_b, common = set(), set(), 0.0
+    for likeness, i, j in pairs:
+        if i not in used_a and j not in used_b:
+            used_a.add(i)
+            used_b.add(j)
+            common += likeness * (weight_a[i] + weight_b[j]) / 2
+    return common / total
+
+
+def slip(a: str, b: str) -> tuple[str, str, str] | None:
+    """(x, y, rest): the only ideographs in which two keys of one length differ, and all others in order; None if they differ otherwise."""
+    if len(a) != len(b) or not _CJK.search(a):
         return None
+    at = [i for i, (x, y) in enumerate(zip(a, b)) if x != y]
+    # persons with one given name and different surnames are common, misspelt surnames are not
+    if len(at) != 1 or (at[0] == 0 and kind_of(a) == "han"):
+        return None
+    return a[at[0]], b[at[0]], "".join(sorted(a[: at[0]] + a[at[0] + 1 :]))
+
+
+def shortened(a: str, b: str) -> tuple[str, str] | None:
+    """(long, short) if the one is an organisation's name and the other leaves characters of it out."""
     long, short = (a, b) if len(a) > len(b) else (b, a)
-    if not _CJK.search(a):
-        if len(long) == len(short) + 1:
-            for i in range(1, len(long)):
-                if long[i] == long[i - 1] and long[:i] + long[i + 1 :] == short:
-                    return "twice", "", ""
+    if len(short) < 3 or len(long) < 6 or len(short) == len(long) or short[0] != long[0] or not long.endswith(tuple(ORGANISATIONS)):
         return None
-    if len(short) >= 3 and len(long) >= 6 and short[0] == long[0] and long.endswith(tuple(ORGANISATIONS)):
-        rest = iter(long)
-        if all(c in rest for c in short):
-            return "short", long, short
-    return None
+    rest = iter(long)
+    return (long, short) if all(c in rest for c in short) else None
+
 
+_PAIR = "a string, b string, kind string, x string, y string, rest string, long string, short string"
 
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates with the slip in which they differ, or how one shortens the other."""
     for batch in batches:
-        rows = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            if d := difference(a, b):
-                rest = "".join(sorted(a.replace(d[1], "", 1))) if d[0] == "sub" else ""
-                rows.append((a, b, kind_of(a), *d, rest))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(7)], names=["a", "b", "kind", "how", "x", "y", "rest"])
+        rows = [(a, b, kind_of(a), *(slip(a, b) or (None,) * 3), *(shortened(a, b) or (None,) * 2)) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()) if bool(_CJK.search(a)) == bool(_CJK.search(b))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(8)], names=[c.split()[0] for c in _PAIR.split(", ")])
+
+
+def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        same = []
+        for a, b, wa, wb, soft in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "wa", "wb", "soft"))):
+            latin = not _CJK.search(a)
+            differ = not latin and kind_of(a) == "han" and kind_of(b) == "han" and a[0] != b[0]
+            same.append(not differ and soft_similarity(tokens(a), tokens(b), wa, wb, soft, latin) >= (ALIKE_WORDS if latin else ALIKE) - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.bool_())], names=["a", "b", "same"])
+
+
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(k, i, t) for k in batch.column("key").to_pylist() for i, t in enumerate(tokens(k))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["key", "at", "token"])
+
+
+def _weights(keys: DataFrame) -> DataFrame:
+    """(key, weights): for each token of a key, in order, the logarithm of its rarity among the keys."""
+    rows = keys.select("key").distinct().mapInArrow(_token_rows, "key string, at int, token string")
+    df = rows.groupBy("token").agg(F.countDistinct("key").alias("df"))
+    many = keys.agg(F.countDistinct("key").alias("many"))
+    weighed = rows.join(df, "token").crossJoin(F.broadcast(many)).withColumn("w", F.log(1 + F.col("many") / F.col("df")))  # one row
+    return weighed.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda t: t["w"]).alias("weights"))  # the tokens of one key
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,45 +335,44 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "c", "all"])
 
 
-def _similar_keys(keys: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: keys that share at least ``similarity`` of their q-grams, by the rarest of them."""
-    rows = written(keys.mapInArrow(_gram_rows, "key string, gram string, size int"))
+def _similar_keys(keys: DataFrame) -> DataFrame:
+    """(a, b), a < b: keys that share the least share of their q-grams, by the rarest of them."""
+    rows = written(keys.mapInArrow(_gram_rows, "key string, gram string, size int, least double"))
     counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = rows.join(counts, "gram")
     order = Window.partitionBy("key").orderBy("df", "gram")
     many = F.count(F.lit(1)).over(Window.partitionBy("key"))
     prefix = shared.withColumn("rank", F.row_number().over(order)).withColumn("many", many)
-    prefix = written(prefix.where(F.col("size") - F.col("many") + F.col("rank") <= F.col("size") - F.ceil(F.col("size") * similarity) + 1).select("key", "gram", "size"))
-    a, b = prefix.select("gram", F.col("key").alias("a"), F.col("size").alias("na")), prefix.select("gram", F.col("key").alias("b"), F.col("size").alias("nb"))
-    return a.join(b, "gram").where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity).select("a", "b").distinct()
+    prefix = written(prefix.where(F.col("size") - F.col("many") + F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.col("least") - 1e-9) + 1).select("key", "gram", "size", "least"))
+    a, b = prefix.select("gram", "least", F.col("key").alias("a"), F.col("size").alias("na")), prefix.select("gram", F.col("key").alias("b"), F.col("size").alias("nb"))
+    return a.join(b, "gram").where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.col("least") - 1e-9).select("a", "b").distinct()
 
 
-def _spelling_links(keys: DataFrame, similarity: float, regular: float) -> DataFrame:
+def _spelling_links(keys: DataFrame, regular: float) -> DataFrame:
     """(a, b): keys that are spellings of one name as far as the spellings themselves tell."""
-    found = written(_similar_keys(keys.select("key"), similarity).mapInArrow(_differences, "a string, b string, kind string, how string, x string, y string, rest string"))
-    plain = found.where("how in ('swap', 'twice')").select("a", "b")
+    found = written(_similar_keys(keys.select("key")).mapInArrow(_compared, _PAIR))
     # a character is soft where most names that hold it also exist with the other character in its place; names
     # that only differ in the order of their characters are one piece of evidence
-    subs = found.where("how = 'sub' and kind <> 'latin'").select("a", "b", "kind", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "rest")
+    subs = found.where("x is not null").select("a", "b", "kind", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "rest")
     letters = written(keys.select("key").mapInArrow(_letters, "kind string, c string, all string").groupBy("kind", "c").agg(F.countDistinct("all").alias("names")))
     support = subs.groupBy("kind", "p", "q").agg(F.countDistinct("rest").alias("support"))
     weighed = support.join(letters.select("kind", F.col("c").alias("p"), F.col("names").alias("np")), ["kind", "p"])
     weighed = weighed.join(letters.select("kind", F.col("c").alias("q"), F.col("names").alias("nq")), ["kind", "q"])
     uses = keys.select("key", "n")
     counted = subs.join(uses.withColumnsRenamed({"key": "a", "n": "na"}), "a").join(uses.withColumnsRenamed({"key": "b", "n": "nb"}), "b")
-    # the rarer character stands for one other only: the one with the most evidence, then the more frequent names
     uneven = F.countDistinct(F.when(2 * F.least("na", "nb") <= F.greatest("na", "nb"), F.col("rest")))
-    weight = counted.groupBy("kind", "p", "q").agg(F.sum(F.greatest("na", "nb")).alias("uses"), uneven.alias("uneven"))
-    rare = F.when(F.struct("np", "p") <= F.struct("nq", "q"), F.col("p")).otherwise(F.col("q"))
-    regularly = weighed.where(F.col("support") >= regular * F.least("np", "nq")).join(weight, ["kind", "p", "q"]).where(F.col("uneven") >= F.greatest(F.lit(1), F.col("support") * UNEVEN)).withColumn("rare", rare)
-    order = Window.partitionBy("kind", "rare").orderBy(F.desc("support"), F.desc("uses"), "p", "q")
-    soft = regularly.withColumn("place", F.row_number().over(order)).where("place = 1").select("kind", "p", "q", "support")
-    typed = counted.join(soft, ["kind", "p", "q"]).select("a", "b")
+    weight = counted.groupBy("kind", "p", "q").agg(uneven.alias("uneven"))
+    regularly = weighed.where(F.col("support") >= regular * F.least("np", "nq")).join(weight, ["kind", "p", "q"])
+    soft = regularly.where(F.col("uneven") >= F.greatest(F.lit(1), F.col("support") * UNEVEN)).select("kind", "p", "q", F.lit(True).alias("soft"))
+    weights = written(_weights(keys))
+    pairs = found.withColumns({"p": F.least("x", "y"), "q": F.greatest("x", "y")}).join(soft, ["kind", "p", "q"], "left").withColumn("soft", F.coalesce("soft", F.lit(False)))
+    both = pairs.join(weights.select(F.col("key").alias("a"), F.col("weights").alias("wa")), "a").join(weights.select(F.col("key").alias("b"), F.col("weights").alias("wb")), "b")
+    alike = both.select("a", "b", "wa", "wb", "soft").mapInArrow(_likeness, "a string, b string, same boolean").where("same").select("a", "b")
     # an abbreviation that fits several organisations is left to the articles
-    shorts = found.where("how = 'short'").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    shorts = found.where("long is not null").select(F.col("long").alias("a"), F.col("short").alias("b"))
     plainer = F.regexp_replace("a", f"^(..)[{''.join(ADMINISTRATIVE)}]", "$1")
     single = shorts.groupBy("b").agg(F.countDistinct(plainer).alias("n"), F.min("a").alias("a")).where("n = 1").select("a", "b")
-    return plain.unionByName(typed).unionByName(single)
+    return alike.unionByName(single)
 
 
 def _shortened_latin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,12 +395,12 @@ def _shortened_latin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(short, pa.string()), pa.array(full, pa.bool_())], names=["key", "short", "full"])
 
 
-def name_groups(articles: DataFrame, similarity: float = SIMILARITY, regular: float = REGULAR) -> DataFrame:
+def name_groups(articles: DataFrame, regular: float = REGULAR, introduced: bool = True) -> DataFrame:
     """(name, group): each different ``person`` string as written, and the least spelling of its group.
 
     articles: article, opinions (and any others, ignored). Null, empty or unreadable opinions and null or empty
     persons hold no name; a null article tells nothing. Evidence is counted in rows. A short form belongs to
-    the full name that the most introductions give it (ties: the lesser name).
+    the full name that the most introductions give it (ties: the lesser name). introduced: whether introductions count.
     """
     rows = articles.select("article", "opinions").where("article is not null or opinions is not null")
     seen = written(rows.mapInArrow(_read, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
@@ -321,7 +408,7 @@ def name_groups(articles: DataFrame, similarity: float = SIMILARITY, regular: fl
     filed = written(named.select("a", "b").mapInArrow(_keyed, "name string, key string"))
     known = written(filed.join(named.groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n")), "name").groupBy("key").agg(F.sum("n").alias("n")))
     # introductions: the candidate that most names have, or else the likeliest; then the most frequent full name of each short form
-    intros = seen.where("kind = 'intro'").select(F.monotonically_increasing_id().alias("id"), F.split("a", "\x1f").alias("full"), F.col("b").alias("short"), "n")
+    intros = seen.where(f"kind = 'intro' and {str(introduced).lower()}").select(F.monotonically_increasing_id().alias("id"), F.split("a", "\x1f").alias("full"), F.col("b").alias("short"), "n")
     intros = written(intros)
     each = intros.select("id", "short", "n", F.posexplode("full").alias("at", "key")).join(known.select("key", F.col("n").alias("uses")), "key", "left")
     best = each.groupBy("id", "short", "n").agg(F.min_by("key", F.struct(-F.coalesce("uses", F.lit(0)), F.col("at"))).alias("key"))
@@ -331,7 +418,7 @@ def name_groups(articles: DataFrame, similarity: float = SIMILARITY, regular: fl
     every = written(every.groupBy("key").agg(F.max("n").alias("n")))
     # a short form that was introduced is explained; its likeness to other short forms means nothing
     explained = told.select(F.col("short").alias("key"))
-    spelled = _spelling_links(every.join(explained.where("key rlike '[\\\\x{3400}-\\\\x{9FFF}]'"), "key", "left_anti"), similarity, regular)
+    spelled = _spelling_links(every.join(explained.where("key rlike '[\\\\x{3400}-\\\\x{9FFF}]'"), "key", "left_anti"), regular)
     # Latin short forms without an introduction: only if a single full name allows them
     latin = every.select("key").mapInArrow(_shortened_latin, "key string, short string, full boolean")
     latin = written(latin)

@@ -265,6 +265,29 @@ def opinion(*people):
     return repr([{"person": p, "verb": "說", "opinion": "好。", "order": i} for i, p in enumerate(people)])
 
 
+def test_likeness_of_names():
+    like = lambda a, b, soft=False: names.soft_similarity(names.tokens(a), names.tokens(b), [1.0] * len(names.tokens(a)), [1.0] * len(names.tokens(b)), soft, not "一" <= a[0] <= "鿿")
+    assert like("王小明", "王小明") == like("王小明", "王明小") == 1 and like("王小明", "王大明") == pytest.approx(2 / 3)
+    assert like("王小明", "王曉明", True) == pytest.approx(2.9 / 3) and like("王小明", "明小王") < 0.9
+    assert like("john smith", "smith john") == 1 and like("john smith", "john smyth") == pytest.approx(0.9) and like("john smith", "jane doe") == 0
+    # rare tokens count more
+    one, two = names.tokens("王小明"), names.tokens("王大明")
+    assert names.soft_similarity(one, two, [5, 1, 5], [5, 1, 5], False, False) > 0.9 > names.soft_similarity(one, two, [1, 5, 1], [1, 5, 1], False, False)
+    assert names.word_likeness("johnson", "jonson") == pytest.approx(6 / 7) and names.word_likeness("abcd", "abdc") == 0.75 and names.word_likeness("a", "") == 0
+    assert names.slip("王小明", "王大明") == ("小", "大", "".join(sorted("王明")))
+    assert names.slip("王小明", "李小明") is None and names.shortened("澈穗護理促進會", "澈護會") == ("澈穗護理促進會", "澈護會")
+
+
+def test_latin_names_with_other_letters(spark):
+    people = [[f"{a} {b}" for a in ("John", "Mary", "Peter", "Anna")] for b in ("Featherstone", "Okonkwo", "Lindqvist", "Marchetti")]
+    rows = [(i, "Text.", opinion(n)) for i, n in enumerate([*(x for p in people for x in p), "John Fetherstone", "Lindqvist, Peter", "Anna Marchetty", "Mary Oconkwo"])]
+    groups = {}
+    for r in names.name_groups(spark.createDataFrame(rows, "news_id int, article string, opinions string")).collect():
+        groups.setdefault(r.group, set()).add(r.name)
+    linked = {frozenset(g) for g in groups.values() if len(g) > 1}
+    assert linked == {frozenset(x) for x in (("John Featherstone", "John Fetherstone"), ("Peter Lindqvist", "Lindqvist, Peter"), ("Anna Marchetti", "Anna Marchetty"), ("Mary Okonkwo", "Mary Oconkwo"))}
+
+
 def test_names(spark):
     # persons who share a surname share no other character, so each slip has one reading
     surnames, given_chars = list("王李張陳林黃吳劉"), [chr(0x4E00 + 7 * i) for i in range(24)]

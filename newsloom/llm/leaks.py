@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ..sources.tables import written
 from . import codes
 
 MIN_SHARED = 50
 GRAM = 25
-#: Test-side fingerprints up to this number are sent to every task; beyond it both sides are shuffled.
-BROADCAST_FINGERPRINTS = 1_000_000
+#: Test-side fingerprints with their texts up to this number of rows and characters are sent to every task; beyond it both sides are shuffled.
+BROADCAST_FINGERPRINTS, BROADCAST_CHARS = 300_000, 20_000_000
 
 _HITS = "fingerprint long, {id} long, before string, gram string, after string"
 
@@ -82,19 +83,18 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_shared: int = MIN_SHA
 
     documents: doc_id, text; items: item_id, text; other columns are ignored. Null or short texts and
     null ids have no partner; repeated rows count once; empty tables give an empty result.
-    Items are assumed fewer than documents. Their fingerprints go to every task only while a count
-    proves them below ``broadcast_rows``; otherwise both sides meet in a shuffle join.
+    Items are assumed fewer than documents. Their fingerprints go to every task only while their rows, counted as
+    often as items hold them, and their characters are few; otherwise both sides meet in a shuffle join.
     """
     if not 0 < k <= min_shared:
         raise ValueError("k must lie between 1 and min_shared")
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     tests = items.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    right = tests.mapInArrow(_fingerprints("item_id", min_shared, k, None), _HITS.format(id="item_id"))
-    known = right.select("fingerprint").distinct()
-    few = known.limit(broadcast_rows + 1).count() <= broadcast_rows
+    right = written(tests.mapInArrow(_fingerprints("item_id", min_shared, k, None), _HITS.format(id="item_id")).distinct())
+    rows, chars = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("before") + F.length("gram") + F.length("after")), F.lit(0))).first()
     only = None
-    if few:
-        only = np.sort(np.array([r[0] for r in known.collect()], np.int64))
+    if rows <= broadcast_rows and chars <= BROADCAST_CHARS:
+        only = np.sort(np.array([r[0] for r in right.select("fingerprint").distinct().collect()], np.int64))
         right = F.broadcast(right)
     left = docs.mapInArrow(_fingerprints("doc_id", min_shared, k, only), _HITS.format(id="doc_id"))
     right = right.select("fingerprint", "gram", "item_id", F.col("before").alias("item_before"), F.col("after").alias("item_after"))

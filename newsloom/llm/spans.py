@@ -12,9 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -107,17 +106,6 @@ def _signature(column: str):
     return F.count(F.lit(1)).alias("n"), F.bit_xor(h(1)).alias("x"), F.sum((h(2).bitwiseAND(0x3FFFFFFF)).cast("decimal(28,0)")).alias("y")
 
 
-def _merged(rows: pd.DataFrame) -> pd.DataFrame:
-    total = 0
-    end = -1
-    for a, b in rows[["start", "stop"]].drop_duplicates().sort_values(["start", "stop"]).itertuples(index=False):
-        a = max(a, end)
-        if b > a:
-            total += b - a
-            end = b
-    return pd.DataFrame({"doc_id": [rows.doc_id.iloc[0]], "shared_chars": [total]})
-
-
 def shared_share(documents: DataFrame, span: int = SPAN, m: int = MINIMISER) -> DataFrame:
     """One row a document: doc_id, n_chars, shared_chars (characters within spans that another document holds), share.
 
@@ -129,17 +117,14 @@ def shared_share(documents: DataFrame, span: int = SPAN, m: int = MINIMISER) ->
     docs_of = pieces.select("piece_id", "doc_id").groupBy("piece_id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     per_window = windows.join(docs_of, "piece_id").groupBy("one", "two").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     inner = windows.join(per_window.select("one", "two"), ["one", "two"]).select("piece_id", "at")
-    gap = F.col("at") - F.row_number().over(_w("piece_id"))
+    gap = F.col("at") - F.row_number().over(Window.partitionBy("piece_id").orderBy("at"))
     spans = inner.distinct().withColumn("g", gap).groupBy("piece_id", "g").agg(F.min("at").alias("a"), (F.max("at") + span).alias("b")).drop("g")
     whole = strings.where("lo < hi").select("piece_id", F.lit(0).alias("a"), F.length("piece").alias("b"))
     places = pieces.join(spans.unionByName(whole), "piece_id").select("doc_id", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("stop"))
-    shared = places.groupBy("doc_id").applyInPandas(_merged, "doc_id long, shared_chars long")
+    # of each stretch only what reaches behind all that begin before it
+    before = Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest("start", F.coalesce(F.max("stop").over(before), F.col("start")))
+    shared = places.distinct().withColumn("new", F.greatest(F.lit(0), F.col("stop") - reached)).groupBy("doc_id").agg(F.sum("new").alias("shared_chars"))
     every = documents.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n_chars"))
     some = F.coalesce("shared_chars", F.lit(0))
     return every.join(shared, "doc_id", "left").select("doc_id", "n_chars", some.cast("long").alias("shared_chars"), F.when(F.col("n_chars") > 0, some / F.col("n_chars")).otherwise(0.0).alias("share"))
-
-
-def _w(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy("at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import canonical, leaks, main_text, names, near_duplicates, packing, repeated_lines, sentences, spans, stories
+from . import canonical, codes, leaks, main_text, names, near_duplicates, packing, repeated_lines, sentences, spans, stories
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,32 @@ _CANONICAL = canonical.canonical_sql().replace("FROM src)", "FROM (SELECT DISTIN
 _WINDOWS = f"""(SELECT DISTINCT doc_id, pos, md5(substr(text, pos, {spans.SPAN})) AS piece FROM (
     SELECT doc_id, text, unnest(range(1, length(text) - {spans.SPAN} + 2)) AS pos FROM documents WHERE length(text) >= {spans.SPAN}))"""
 
+_LATEST = "(SELECT news_id, ord, opinion FROM (SELECT *, row_number() OVER (PARTITION BY news_id, ord ORDER BY datetime DESC NULLS LAST, person, opinion) AS n FROM person_store) WHERE n = 1)"
+#: The opinions of an article are the rows of person_store that hold its news_id.
+_FIELDS = canonical.canonical_sql().replace(
+    "FROM src)",
+    f"""FROM (SELECT DISTINCT news_id AS id, 'article' AS field, article AS text FROM article_page WHERE article IS NOT NULL
+    UNION ALL SELECT news_id, 'opinions', string_agg(coalesce(opinion, ''), chr(10) ORDER BY ord) FROM {_LATEST} WHERE news_id IN (SELECT news_id FROM article_page WHERE opinions IS NOT NULL AND opinions <> '[]') GROUP BY news_id))""",
+)
+
+
+def _folded_sql(table: str, key: str) -> str:
+    """(id, t): the letters and digits of each text without differences of width and case, by Python's Unicode tables."""
+    forms = {c: f for c in map(chr, range(1, 0x10000)) if not 0xAC00 <= ord(c) < 0xE000 and (f := codes.folded(c)) != c}
+    keys, values = ("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]" for xs in (forms, forms.values()))
+    return f"(SELECT {key} AS id, array_to_string(list_transform(string_split(nfc_normalize(text), ''), lambda c: coalesce(map({keys}, {values})[c], c)), '') AS t FROM {table} WHERE text IS NOT NULL)"
+
+
+def _shared_sql() -> str:
+    n = leaks.MIN_SHARED
+    windows = lambda table, key: f"(SELECT DISTINCT id, md5(substr(t, pos, {n})) AS w FROM (SELECT id, t, unnest(range(1, length(t) - {n} + 2)) AS pos FROM {_folded_sql(table, key)} WHERE length(t) >= {n}))"
+    return f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM {windows('documents', 'doc_id')} d JOIN {windows('eval_item', 'item_id')} i ON d.w = i.w"
+
+
 ORACLE = {
+    "p5_found": f"SELECT DISTINCT id AS news_id, field FROM ({_FIELDS}) WHERE affected",
+    "p5_canonical": f"SELECT DISTINCT id AS news_id, field, canonical, affected FROM ({_FIELDS})",
+    "p9_found": _shared_sql(),
     "p1_found": f"""WITH bodies AS (SELECT id, regexp_replace(canonical, '\\s', '', 'g') AS body FROM ({_CANONICAL})),
         grams AS (SELECT DISTINCT id, substr(body, pos, {near_duplicates.RUN}) AS gram FROM (SELECT id, body, unnest(range(1, length(body) - {near_duplicates.RUN} + 2)) AS pos FROM bodies)),
         sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import times
-from ..operators import prepare, sites
+from ..operators import outlets, prepare, sites
 from ..streaming import daily
 from ..sources.tables import shared_folder
 from .registry import Registry, table
@@ -54,16 +54,16 @@ def space_restore(spark, sf_dir):
     return rows.select("news_id", F.trim(X.restore_spaces(X.strip_spaces("article"), X.space_index("article"))).alias("restored"))
 
 
-def _nfkc_sql() -> str:
-    """Each character's compatibility form, from the Unicode tables of Python, and then the canonical composition."""
+def _nfkc_sql(column: str) -> str:
+    """Each character's compatibility form, from the Unicode tables of Python, then the canonical composition, with white space collapsed."""
     # Hangul syllables and other canonical forms are left to nfc_normalize
     forms = {c: n for c in map(chr, range(0xA0, 0x30000)) if not 0xAC00 <= ord(c) < 0xE000 and (n := unicodedata.normalize("NFKD", c)) != c and n != unicodedata.normalize("NFD", c)}
     keys, values = ("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]" for xs in (forms, forms.values()))
-    form = f"nfc_normalize(array_to_string(list_transform(string_split(text, ''), lambda c: coalesce(map({keys}, {values})[c], c)), ''))"
-    return f"SELECT doc_id, trim(regexp_replace({form}, '{WS}+', ' ', 'g')) AS normalised FROM documents"
+    form = f"nfc_normalize(array_to_string(list_transform(string_split({column}, ''), lambda c: coalesce(map({keys}, {values})[c], c)), ''))"
+    return f"trim(regexp_replace({form}, '{WS}+', ' ', 'g'))"
 
 
-@R.add(_nfkc_sql())
+@R.add(f"SELECT doc_id, {_nfkc_sql('text')} AS normalised FROM documents")
 def nfkc_text(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.nfkc("text").alias("normalised"))
 
@@ -107,6 +107,34 @@ def site_records(spark, sf_dir):
     return sites.read_pages(_pages(spark, sf_dir))
 
 
+#: A page in each of the layouts of ``outlets``; TITLE and BODY stand for an article's title and its lines as paragraphs.
+LAYOUTS = {
+    "cna": "<div class=centralContent><div class=breadcrumb><a>首頁</a><a>政治</a></div><h1><span>TITLE</span></h1><div class=paragraph>BODY</div><div class=paragraph><p>別的</p></div></div>",
+    "chinatimes": '<nav class=breadcrumb-wrapper><ol><li><a><span>政治</span></a></li></ol></nav><header class=article-header><h1 class=article-title>TITLE</h1><time datetime="2022-01-02 03:04">x</time></header><div class=article-body>BODY</div>',
+    "ettoday": '<meta name="pubdate" content="2022-01-02T03:04:00+0800"><div class=part_breadcrumb><div><a><span>政治</span></a></div></div><h1 class=title>TITLE</h1><div class=story><p class=no>圖</p>BODY</div>',
+    "ftv": "<h1 class=text-center>TITLE</h1><div id=newscontent>BODY</div>",
+    "setn": "<input type=hidden id=pageGroupID value=6><h1 class=news-title-3>TITLE</h1><time class=page-date>2022/01/02 03:04:00</time><div id=Content1>BODY<p class=x>圖</p></div>",
+    "storm": "<div id=title_tags_wrapper><a>政治</a></div><h1 id=article_title>TITLE</h1><span id=info_time>2022-01-02 03:04</span><div id=CMS_wrapper><blockquote><p dir=ltr>引</p></blockquote>BODY</div>",
+    "tvbs": '<meta name=pubdate content="2022-01-02T03:04:00+08:00"><div class=title_box><h1 class=title>TITLE</h1></div><div id=news_detail_div>BODY<span class=endtext>完</span></div>',
+}
+TITLED = "(SELECT news_id, min(title) AS title, min(article) AS article FROM article_page WHERE trim(title) <> '' AND trim(article) <> '' GROUP BY news_id)"
+
+
+@R.add(
+    f"""SELECT news_id AS idx, news_id % 7 AS company_id, {_nfkc_sql('title')} AS title, {_nfkc_sql('article')} AS article, CASE WHEN news_id % 7 IN (3, 6) THEN '' ELSE '政治' END AS category,
+    CASE WHEN news_id % 7 IN (0, 3) THEN NULL ELSE TIMESTAMP '2022-01-02 03:04:00' END AS published FROM {TITLED} WHERE {_nfkc_sql('article')} <> ''"""
+)
+def layout_records(spark, sf_dir):
+    """Every article as a page of one of the layouts, and read from it again."""
+    rows = table(spark, sf_dir, "article_page", "news_id", "title", "article").where("trim(title) <> '' and trim(article) <> ''").groupBy("news_id").agg(F.min("title").alias("title"), F.min("article").alias("article"))
+    safe = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.concat(F.lit("<p dir=ltr>"), F.replace(safe("article"), F.lit("\n"), F.lit("</p><p dir=ltr>")), F.lit("</p>"))
+    page = F.element_at(F.array(*map(F.lit, LAYOUTS.values())), F.col("news_id") % len(LAYOUTS) + 1)
+    pages = rows.select(F.col("news_id").alias("idx"), (F.col("news_id") % len(LAYOUTS)).alias("company_id"), F.replace(F.replace(page, F.lit("TITLE"), safe("title")), F.lit("BODY"), body).alias("raw_xml"))
+    found = sites.read_pages(pages, outlets.rules_by_id({name: i for i, name in enumerate(LAYOUTS)}))
+    return found.select("idx", "company_id", "title", "article", "category", "published")
+
+
 @R.add(
     f"""SELECT news_id, CASE WHEN regexp_matches(article, '{CUT[0]}') THEN regexp_replace(article, '(?s)^(.*?)(?:{CUT[0]}).*$', '\\1')
     WHEN regexp_matches(article, '{CUT[1]}') THEN regexp_replace(article, '(?s)^(.*?)(?:{CUT[1]}).*$', '\\1')

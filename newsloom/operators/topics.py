@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import cosine
+from ..sources.tables import written
+from . import density
 
 OUTLIER = -1
 
 
-def assign_topics(vectors: DataFrame, k: int, outlier_share: float = 0.05, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, topic): k-means with a distance cut-off; the ``outlier_share`` of rows farthest from their centre get -1.
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            vectors = np.array(batch.column("vec").to_pylist(), np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc"), density.packed(vectors, np.float32)], names=["part", "doc", "vec"])
+
+
+def assign_topics(vectors: DataFrame, radius: float, dense: int = 3, day: str | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """([day,] key, topic): the clusters by density of each day's vectors, numbered from 0 by falling size (ties: the least key), and OUTLIER for the rest.
 
-    A stand-in for a density model over text embeddings, deterministic under its seed.
+    radius: the least cosine of neighbours; dense: neighbours, itself included, that make a core. Null keys and vectors
+    are left out, a repeated key counts once. All vectors have the length of the first.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(vector).cast("array<double>").alias("v"))
-    model = KMeans(k=k, seed=seed).fit(rows)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    near = model.transform(rows).withColumn("c", F.element_at(centres, F.col("prediction") + 1))
-    far = near.withColumn("d", F.sqrt(F.aggregate(F.zip_with("v", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
-    limit = far.agg(F.percentile_approx("d", 1 - outlier_share, 10_000).alias("limit"))
-    return far.crossJoin(F.broadcast(limit)).select(key, F.when(F.col("d") > F.col("limit"), OUTLIER).otherwise(F.col("prediction")).alias("topic"))  # one row
+    part = F.coalesce(F.xxhash64(day), F.lit(0)) if day else F.lit(0).cast("long")
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).dropDuplicates([key]).withColumn("__part", part)
+    keep = [F.col(day)] if day else []
+    first = rows.select(F.size(vector)).first()
+    if first is None:
+        return rows.select(*keep, key, F.lit(OUTLIER).alias("topic"))
+    most = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    held = rows.select(F.col("__part").alias("part"), F.col(key).cast("long").alias("doc"), F.col(vector).cast("array<float>").alias("vec"))
+    found = density.density_clusters(held.mapInArrow(_as_bytes, "part long, doc long, vec binary"), first[0], most, radius, dense, kind=np.float32)
+    placed = written(rows.select(*keep, key, "__part", F.col(key).cast("long").alias("doc")).join(found, "doc", "left"))
+    sizes = placed.where("cluster is not null").groupBy("__part", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"))
+    number = (F.row_number().over(Window.partitionBy("__part").orderBy(F.desc("n"), "least")) - 1).cast("int")
+    named = sizes.select("__part", "cluster", number.alias("topic"))
+    return placed.join(named, ["__part", "cluster"], "left").select(*keep, key, F.coalesce("topic", F.lit(OUTLIER)).alias("topic"))
 
 
 def centroids(vectors: DataFrame, topic: str = "label", vector: str = "embedding") -> DataFrame:

@@ -156,9 +156,24 @@ def topic_representative(spark, sf_dir):
     return topics.representatives(_vectors(spark, sf_dir)).select("label", "vec_id")
 
 
-@R.add()
+RADIUS, DENSE = 0.32, 3
+
+
+@R.add(
+    f"""WITH RECURSIVE v AS (SELECT a.vec_id, vec_id % 3 AS day, a.embedding, a.norm FROM {VECTORS} a),
+    near AS (SELECT a.day, a.vec_id AS a, b.vec_id AS b, {DOT} / (a.norm * b.norm) AS s FROM v a JOIN v b ON a.day = b.day WHERE {DOT} / (a.norm * b.norm) >= {RADIUS}),
+    cores AS (SELECT a AS core FROM near GROUP BY a HAVING count(*) >= {DENSE}),
+    links AS (SELECT a, b FROM near WHERE a IN (SELECT core FROM cores) AND b IN (SELECT core FROM cores)),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    named AS (SELECT a AS core, min(b) AS cluster FROM reach GROUP BY a),
+    joined AS (SELECT n.a AS vec_id, arg_max(c.cluster, n.s) AS cluster FROM near n JOIN named c ON n.b = c.core WHERE n.a NOT IN (SELECT core FROM cores) GROUP BY n.a UNION ALL SELECT core, cluster FROM named),
+    sizes AS (SELECT v.day, j.cluster, count(*) AS n, min(j.vec_id) AS least FROM joined j JOIN v USING (vec_id) GROUP BY ALL),
+    topics AS (SELECT cluster, CAST(row_number() OVER (PARTITION BY day ORDER BY n DESC, least) - 1 AS INTEGER) AS topic FROM sizes)
+    SELECT v.day, v.vec_id, coalesce(t.topic, -1) AS topic FROM v LEFT JOIN joined j USING (vec_id) LEFT JOIN topics t ON t.cluster = j.cluster"""
+)
 def topic_assignment(spark, sf_dir):
-    return topics.assign_topics(_vectors(spark, sf_dir), 10)
+    rows = _vectors(spark, sf_dir).withColumn("day", F.col("vec_id") % 3)
+    return topics.assign_topics(rows, RADIUS, DENSE, "day")
 
 
 FLAGGED = f"(SELECT *, coalesce(news_id = min(news_id) OVER (PARTITION BY date, topic), false) AS rep FROM {NEWS} WHERE topic IS NOT NULL AND topic <> -1)"

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from ..sources.tables import written
 from .prepare import opinion_length
 
 PAIR_SIMILARITY, PARAPHRASE = 0.8, 0.95
+#: Rows that a sweep over numbers of clusters sends to all tasks, and numbers that it tries where the rows are more.
+SWEEP_ROWS, LADDER = 20_000, 40
 
 
 def by_speaker(opinions: DataFrame, key: str = "news_id") -> DataFrame:
@@ -51,28 +56,53 @@ def pair_rule(rows: DataFrame, group: str, key: str, vector: str, text: str, lea
     return rows.join(losers, [group, key], "left_anti")
 
 
+def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((points**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * points @ centres.T, 0)
+
+
 def k_means(points: np.ndarray, k: int, seed: int = 7, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(labels, centres) of a seeded k-means with well-spread starts; every label of 0 to k-1 occurs if there are k different points."""
     rng = np.random.default_rng(seed)
     centres = points[[rng.integers(len(points))]]
+    nearest = _squared(points, centres)[:, 0]
     while len(centres) < k:
-        d = ((points[:, None] - centres[None]) ** 2).sum(2).min(1)
-        p = d / d.sum() if d.sum() > 0 else np.full(len(points), 1 / len(points))
+        total = nearest.sum()
+        p = nearest / total if total > 1e-12 else np.full(len(points), 1 / len(points))
         centres = np.vstack([centres, points[rng.choice(len(points), p=p)]])
+        nearest = np.minimum(nearest, _squared(points, centres[-1:])[:, 0])
     labels = None
     for _ in range(rounds):
-        d = ((points[:, None] - centres[None]) ** 2).sum(2)
+        d = _squared(points, centres)
         new = d.argmin(1)
-        for c in range(k):
-            if not (new == c).any():
-                new[d[np.arange(len(points)), new].argmax()] = c
+        for c in np.flatnonzero(np.bincount(new, minlength=k) == 0):
+            new[d[np.arange(len(points)), new].argmax()] = c
         if labels is not None and (new == labels).all():
             break
         labels = new
-        centres = np.array([points[labels == c].mean(0) if (labels == c).any() else centres[c] for c in range(k)])
+        many = np.bincount(labels, minlength=k)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, labels, points)
+        centres = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], centres)
     return labels, centres
 
 
+def fast_silhouette(points: np.ndarray, labels: np.ndarray) -> float:
+    """Mean silhouette by squared Euclidean distance, from the sums of the clusters; a point alone in its cluster has 0."""
+    kinds, labels = np.unique(labels, return_inverse=True)
+    many = np.bincount(labels)
+    own = np.arange(len(points)), labels
+    sums = np.zeros((len(kinds), points.shape[1]))
+    np.add.at(sums, labels, points)
+    squares = np.bincount(labels, (points**2).sum(1))
+    # mean squared distance of each point to all of each cluster
+    mean = np.maximum((points**2).sum(1)[:, None] + (squares / many)[None] - 2 * points @ (sums / many[:, None]).T, 0)
+    a = mean[own] * many[labels] / np.maximum(many[labels] - 1, 1)
+    mean[own] = np.inf
+    b = mean.min(1)
+    most = np.maximum(a, b)
+    return float(np.where((many[labels] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1), 0.0).mean())
+
+
 def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     """Mean silhouette by Euclidean distance; a point alone in its cluster has 0."""
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
@@ -120,32 +150,62 @@ def opinion_medoids(rows: DataFrame, group: str, key: str, vector: str, seed: in
     return usable.groupBy(group).applyInPandas(one, f"{group} {types[group]}, {key} {types[key]}")
 
 
-def sweep_clusters(rows: DataFrame, key: str, vector: str, ks: range | None = None, seed: int = 7) -> DataFrame:
-    """(key, cluster, medoid): k-means over all rows with the number of clusters that has the best silhouette; medoid flags the row
-    nearest to each centre (ties: the least key). One row is cluster 0, two rows are 0 and 1. ks: by default 2 up to a tenth of the rows."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
+def _scored(points, seed: int):
+    """Rows (k, score) for numbers of clusters."""
 
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"k": pdf.k, "score": [fast_silhouette(points.value, k_means(points.value, int(k), seed)[0]) for k in pdf.k]})
+
+    return go
+
+
+def sweep_clusters(rows: DataFrame, key: str, vector: str, ks: range | None = None, seed: int = 7, task_rows: int = SWEEP_ROWS) -> DataFrame:
+    """(key, cluster, medoid): k-means over all rows with the number of clusters that has the best silhouette (the least of equals); medoid flags the
+    row nearest to each centre (ties: the least key). One row is cluster 0, two rows are 0 and 1. ks: by default 2 up to a tenth of the rows.
+
+    Up to ``task_rows`` rows go to all tasks, which try the numbers side by side. More rows stay where they are: each number is
+    then a distributed fit, and of a long range LADDER numbers in even ratios are tried.
+    """
     usable = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v")).dropDuplicates([key])
-    n = usable.limit(3).count()
+    n = usable.count()
     kind = dict(rows.dtypes)[key]
+    spark = rows.sparkSession
     if n < 3:
         first = [r[0] for r in usable.orderBy(key).select(key).collect()]
-        return rows.sparkSession.createDataFrame([(x, i, True) for i, x in enumerate(first)], f"{key} {kind}, cluster int, medoid boolean")
+        return spark.createDataFrame([(x, i, True) for i, x in enumerate(first)], f"{key} {kind}, cluster int, medoid boolean")
     if ks is None:
-        ks = range(2, max(3, usable.count() // 10))
-    features = usable.withColumn("features", array_to_vector("v")).persist()
+        ks = range(2, max(3, n // 10))
+    if n > task_rows:
+        return _distributed_sweep(usable, key, ks, seed)
+    held = usable.orderBy(key).collect()
+    points = spark.sparkContext.broadcast(np.array([r.v for r in held]))
+    scores = spark.range(0, len(ks), 1, min(len(ks), 4 * spark.sparkContext.defaultParallelism)).select((F.lit(ks.start) + F.col("id") * ks.step).alias("k")).mapInPandas(_scored(points, seed), "k long, score double").collect()
+    best = min(scores, key=lambda r: (-round(r.score, 12), r.k)).k
+    labels, centres = k_means(points.value, best, seed)
+    near = np.round(_squared(points.value, centres), 9)
+    medoids = {c: min(np.flatnonzero(labels == c), key=lambda i: (near[i, c], i)) for c in set(labels.tolist())}
+    return spark.createDataFrame([(r[0], c, bool(medoids[c] == i)) for i, (r, c) in enumerate(zip(held, labels.tolist()))], f"{key} {kind}, cluster int, medoid boolean")
+
+
+def _distributed_sweep(usable: DataFrame, key: str, ks: range, seed: int) -> DataFrame:
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    tried = list(ks) if len(ks) <= LADDER else sorted({int(round(k)) for k in np.geomspace(ks[0], ks[-1], LADDER)})
+    features = written(usable).withColumn("features", array_to_vector("v")).persist()
     best = None
-    for k in ks:
+    for k in tried:
         model = KMeans(k=k, seed=seed).fit(features)
         labelled = model.transform(features)
         found = labelled.select("prediction").distinct().limit(2).count()
         score = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(labelled) if found > 1 else -1.0
         if best is None or score > best[0]:
             best = (score, model)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in best[1].clusterCenters()])
-    near = best[1].transform(features).withColumn("c", F.element_at(centres, F.col("prediction") + 1))
+    centres = usable.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best[1].clusterCenters())], "prediction int, c array<double>")
+    near = written(best[1].transform(features).drop("features").join(centres, "prediction"))
+    features.unpersist()
     far = near.withColumn("d", F.round(F.aggregate(F.zip_with("v", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x), 9))
     medoids = far.groupBy("prediction").agg(F.min_by(key, F.struct("d", key)).alias("__m"))
     return far.join(medoids, "prediction").select(key, F.col("prediction").alias("cluster"), (F.col(key) == F.col("__m")).alias("medoid"))

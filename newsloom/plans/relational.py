@@ -46,9 +46,10 @@ def top_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders", "o_orderpriority", "o_orderkey", "o_totalprice").withColumn("rank", rank).where("rank <= 5").drop("o_totalprice")
 
 
-@R.add("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def customers_without_orders(spark, sf_dir):
-    return table(spark, sf_dir, "customer", "c_custkey", "c_name").join(table(spark, sf_dir, "orders", "o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+@R.add("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def customers_without_urgent_orders(spark, sf_dir):
+    urgent = table(spark, sf_dir, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer", "c_custkey", "c_name").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 QUERIES, ORACLE = R.queries, R.oracle

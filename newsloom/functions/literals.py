@@ -57,3 +57,25 @@ def _parsed(texts: pd.Series) -> pd.Series:
 def opinions_of(text: Column | str) -> Column:
     """A Python repr of an opinion list as an array of structs; null where it can't be read."""
     return _parsed(text)
+
+
+LABEL = T.ArrayType(T.StructType([T.StructField("start", _INT), T.StructField("end", _INT), T.StructField("text", _STRING), T.StructField("label", _STRING)]))
+
+
+@F.pandas_udf(LABEL)
+def _labels(texts: pd.Series) -> pd.Series:
+    def one(text):
+        spans = []
+        for x in parse_opinions(text) or []:
+            kinds, start, end = x.get("labels"), x.get("start"), x.get("end")
+            if isinstance(kinds, list) and kinds and isinstance(start, int) and isinstance(end, int):
+                spans.append({"start": start, "end": end, "text": str(x.get("text") or ""), "label": str(kinds[-1])})
+        return spans
+
+    return texts.map(one)
+
+
+def labels_of(text: Column | str) -> Column:
+    """A Python repr of an annotator's spans (start, end, text, labels) as an array of structs with the last of a span's labels; empty
+    where it can't be read or says that nothing is labelled."""
+    return _labels(text)

@@ -39,6 +39,13 @@ def scores(predicted: DataFrame, gold: DataFrame, key: str = "news_id") -> DataF
     return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
+def scores_by_file(predicted: DataFrame, gold: DataFrame, file: str = "file", key: str = "news_id") -> DataFrame:
+    """(file, articles, precision, recall, f1): the means over the articles of each file. predicted and gold have the file of each row."""
+    keyed = lambda df: df.withColumn("__key", F.struct(file, key)).drop(file, key)
+    each = scores(keyed(predicted), keyed(gold), "__key").select(F.col(f"__key.{file}").alias(file), "precision", "recall", "f1")
+    return each.groupBy(file).agg(F.count(F.lit(1)).alias("articles"), *(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
 def macro(per_article: DataFrame) -> DataFrame:
     """(precision, recall, f1): means over the articles."""
     return per_article.agg(*(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")))

@@ -12,7 +12,7 @@ from ..operators import evaluation
 from ..sources import files
 from ..sources.tables import shared_folder
 from .opinions import ORACLE as OPINIONS
-from .opinions import _evaluated
+from .opinions import SCORES, _evaluated
 from .registry import Registry, table
 
 R = Registry()
@@ -84,6 +84,27 @@ def evaluation_report(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+BY_FILE = SCORES.replace("SELECT news_id, tp, fp, fn, CASE", "SELECT news_id, news_id % 3 AS file, tp, fp, fn, CASE", 1)
+
+
+@R.add(
+    f"""SELECT 'labels-' || file AS file, count(*) AS articles, round(avg("precision"), 6) AS "precision", round(avg(recall), 6) AS recall,
+    round(avg(CASE WHEN "precision" + recall > 0 THEN 2 * "precision" * recall / ("precision" + recall) ELSE 0 END), 6) AS f1 FROM {BY_FILE} GROUP BY file"""
+)
+def labelled_files(spark, sf_dir):
+    """Labels of three annotators, each in a file of its own, as Python reprs; the attributions of their articles are scored by file."""
+    path = _folder(spark)
+    predicted, store = _evaluated(spark, sf_dir)
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    span = lambda first, last, text, kind: F.concat(F.lit("{'start': "), (F.col("gold_id") * 1000 + first).cast("string"), F.lit(", 'end': "), (F.col("gold_id") * 1000 + last).cast("string"), F.lit(", 'text': "), quoted(text), F.lit(f", 'labels': ['Text', '{kind}']}}"))
+    rows = store.where("person is not null and opinion is not null").withColumn("spans", F.concat_ws(", ", span(0, 900, "opinion", "opinion"), span(1, 4, "person", "person")))
+    labels = rows.groupBy("news_id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("spans")), ", "), F.lit("]")).alias("label"))  # the labels of one article
+    for k in range(3):
+        files.write_csv(labels.where(F.col("news_id") % 3 == k).coalesce(1), f"{path}/labels-{k}")  # one annotator's file
+    gold = evaluation.gold_triples(files.read_labelled(spark, path)).withColumn("file", F.concat(F.lit("labels-"), (F.col("news_id") % 3).cast("string")))
+    return evaluation.scores_by_file(predicted.withColumn("file", F.concat(F.lit("labels-"), (F.col("news_id") % 3).cast("string"))), gold)
+
+
 @R.add(
     """SELECT idx, CASE idx % 7 WHEN 0 THEN 'use' WHEN 1 THEN 'banned' WHEN 2 THEN 'missing' WHEN 3 THEN 'missing' WHEN 4 THEN 'slow down' ELSE 'error' END AS action,
     CAST(CASE idx % 7 WHEN 1 THEN 600 WHEN 4 THEN CASE WHEN company_id % 2 = 0 THEN 30 ELSE 60 END ELSE 0 END AS DOUBLE) AS wait_seconds FROM (SELECT DISTINCT idx, company_id FROM raw_news)"""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.literals import labels_of
+
 RAW_NEWS = "timestamp double, title string, article string, url string, company string, category string, reporter string"
 PROCESSED = "title string, article string, url string, company string, category string, reporter string, space_index array<int>, datetime timestamp_ntz"
 # What a response status tells a crawler to do.
@@ -30,6 +32,13 @@ def read_json(spark: SparkSession, path: str, schema: str | StructType) -> DataF
     return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
 
 
+def read_labelled(spark: SparkSession, path: str, key: str = "news_id") -> DataFrame:
+    """(file, key, start, end, text, label) of all labelled spans in the CSV files below a folder, which have the columns ``key`` and label."""
+    rows = read_csv_folder(spark, path, f"{key} int, label string")
+    name = F.substring_index("file", "/", -1)
+    return rows.select(name.alias("file"), key, F.explode(labels_of("label")).alias("s")).select("file", key, "s.*")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -83,7 +92,8 @@ def waiting_seconds(responses: DataFrame, waits: DataFrame, code: str = "status_
 
 
 def jitter(seed: int, mean: float = 1.0, spread: float = 2.0, most: float = 10.0, draws: int = 16) -> Column:
-    """A normal number between 0 and ``most``: the first of ``draws`` tries in range, else the mean."""
+    """A normal number between 0 and ``most``: the first of ``draws`` tries in range. All of them miss it with a chance of about 1 in 100 million
+    by default; the mean then stands in."""
     tries = F.array(*[F.randn(seed + i) * spread + mean for i in range(draws)])
     return F.coalesce(F.try_element_at(F.filter(tries, lambda x: (x >= 0) & (x <= most)), F.lit(1)), F.lit(mean))
 

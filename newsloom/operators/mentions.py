@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .prepare import possible_person
 
+#: Names that an annotator by list holds at most.
+MOST_NAMES = 500_000
 #: A model that finds entities: texts in, for each text a list of (text, tag, start, end) out.
 Annotator = Callable[[list[str]], list[list[tuple[str, str, int, int]]]]
 
@@ -26,6 +28,36 @@ def annotate(articles: DataFrame, annotator: Annotator, key: str = "news_id", te
     return rows.mapInPandas(run, "k long, text string, tag string, start int, end int").withColumnRenamed("k", key)
 
 
+class KnownNames:
+    """An annotator that finds all places of listed names, overlapping ones too, in one pass over each text."""
+
+    def __init__(self, tags: dict[str, str]):
+        self.tags = tags
+        self.automaton = None
+
+    def __getstate__(self):
+        return {"tags": self.tags, "automaton": None}
+
+    def __call__(self, texts: list[str]) -> list[list[tuple[str, str, int, int]]]:
+        import ahocorasick
+
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for name in self.tags:
+                self.automaton.add_word(name, name)
+            self.automaton.make_automaton()
+        return [[(name, self.tags[name], end + 1 - len(name), end + 1) for end, name in self.automaton.iter(t)] if self.tags else [] for t in texts]
+
+
+def known_names(names: DataFrame, most: int = MOST_NAMES) -> KnownNames:
+    """An annotator from a list of names (text, tag): such as all persons of earlier days. Null and empty names are left out, of several tags
+    the least counts. The list goes to every task, so it may hold ``most`` names at most."""
+    rows = names.where("text is not null and text <> ''").groupBy("text").agg(F.min("tag").alias("tag")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} names")
+    return KnownNames({r.text: r.tag for r in rows})
+
+
 def locate(articles: DataFrame, names: DataFrame, key: str = "news_id", text: str = "article", name: str = "person") -> DataFrame:
     """(key, name_seq, name, start, end): all occurrences of each article's own names, those of one name not overlapping.
 

@@ -122,9 +122,43 @@ def surname_tiebreak(spark, sf_dir):
     return mentions.surname_order(mentions.person_candidates(_entities(spark, sf_dir)))
 
 
-@R.add()
+SHORT_NAMED = f"(SELECT news_id, name, name_seq, coalesce(sum(length(name) + 1) OVER (PARTITION BY news_id ORDER BY name_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_start FROM {PEOPLE} WHERE length(name) BETWEEN 2 AND 4 AND NOT contains(name, ' '))"
+
+
+@R.add(
+    f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY news_id, substr(name, 1, 1) ORDER BY length(name), first_start, name) AS r FROM {SHORT_NAMED}),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY news_id ORDER BY CASE WHEN r > 1 THEN 1 ELSE 0 END, CASE WHEN r > 1 THEN length(name) END, first_start, name) AS place FROM c),
+    full_names AS (SELECT a.news_id, a.name_seq, arg_min(b.name, b.place) AS full_name FROM placed a JOIN placed b ON a.news_id = b.news_id AND substr(a.name, 1, 1) = substr(b.name, 1, 1) GROUP BY ALL)
+    SELECT p.news_id, string_agg(p.name, ',' ORDER BY p.name_seq) || '。' || string_agg(f.full_name, '和' ORDER BY p.name_seq) AS article_coref, string_agg(p.name, '|' ORDER BY p.place) AS people
+    FROM placed p JOIN full_names f USING (news_id, name_seq) GROUP BY p.news_id"""
+)
 def short_name_expansion(spark, sf_dir):
-    return mentions.expand_short_names(_news(spark, sf_dir), _entities(spark, sf_dir)).withColumn("people", F.array_join("people", "|"))
+    """Texts that list an article's persons and then their surnames alone, which are written out."""
+    people = _people(spark, sf_dir).where("length(name) between 2 and 4 and not contains(name, ' ')")
+    listed = people.groupBy("news_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("name_seq", "name"))), lambda x: x["name"]).alias("names"))  # the persons of one article
+    full = F.array_join("names", ",")
+    texts = listed.select("news_id", "names", F.concat(full, F.lit("。"), F.array_join(F.transform("names", lambda n: F.substring(n, 1, 1)), "和")).alias("article"), (F.length(full) + 1).alias("behind"))
+    before = F.transform("names", lambda n, i: F.length(F.array_join(F.slice("names", 1, i), ",")) + F.when(i > 0, 1).otherwise(0))
+    spans = texts.select("news_id", "behind", F.posexplode(F.arrays_zip("names", before.alias("at"))).alias("n", "m"))
+    long = spans.select("news_id", F.col("m.names").alias("text"), F.col("m.at").cast("int").alias("start"), (F.col("m.at") + F.length("m.names")).cast("int").alias("end"))
+    at = F.col("behind") + 2 * F.col("n")
+    short = spans.select("news_id", F.substring("m.names", 1, 1).alias("text"), at.cast("int").alias("start"), (at + 1).cast("int").alias("end"))
+    entities_found = long.unionByName(short).withColumn("tag", F.lit("PERSON"))
+    return mentions.expand_short_names(texts.select("news_id", "article"), entities_found).withColumn("people", F.array_join("people", "|"))
+
+
+KNOWN = f"(SELECT DISTINCT name FROM {PEOPLE})"
+
+
+@R.add(
+    f"""WITH found AS (SELECT a.news_id, p.name, unnest(range(1, length(a.article) - length(p.name) + 2)) AS pos, a.article FROM {NEWS} a JOIN {KNOWN} p ON contains(replace(a.article, ' ', ''), p.name))
+    SELECT news_id, name AS text, CASE WHEN length(name) <= 4 THEN 'PERSON' ELSE 'ORG' END AS tag, CAST(pos - 1 AS INTEGER) AS start, CAST(pos - 1 + length(name) AS INTEGER) AS "end" FROM (
+      SELECT news_id, name, pos, replace(article, ' ', '') AS t FROM found) WHERE substr(t, pos, length(name)) = name"""
+)
+def known_entities(spark, sf_dir):
+    """Every place of every known name in every article, whoever speaks there."""
+    names = _people(spark, sf_dir).select(F.col("name").alias("text"), F.when(F.length("name") <= 4, "PERSON").otherwise("ORG").alias("tag")).distinct()
+    return mentions.annotate(_news(spark, sf_dir), mentions.known_names(names))
 
 
 TOPIC_PEOPLE = f"(SELECT n.date, n.topic, m.name AS ner, count(*) AS cnt, min(m.news_id * 100000 + m.start) AS first_seen FROM {MENTIONS} m JOIN {NEWS} n USING (news_id) WHERE n.topic IS NOT NULL AND n.topic <> -1 GROUP BY ALL)"

@@ -129,3 +129,13 @@ def test_clause_pairs_and_opinions(spark):
     spaces = spark.createDataFrame([(1, [0, 2])], "news_id int, space_index array<int>")
     moved = clauses.shift_for_spaces(clauses.clause_pairs(nodes), spaces).first()
     assert (moved.agent_start, moved.agent_end, moved.verb_start) == (1, 4, 5)
+
+
+def test_known_names(spark):
+    names = spark.createDataFrame([("王小明", "PERSON"), ("小明", "PERSON"), ("小明", "ORG"), ("", "ORG"), (None, "ORG")], "text string, tag string")
+    news = spark.createDataFrame([(1, "😀王 小明說小明"), (2, ""), (3, None)], "news_id int, article string")
+    got = {tuple(r) for r in mentions.annotate(news, mentions.known_names(names)).collect()}
+    assert got == {(1, "王小明", "PERSON", 1, 4), (1, "小明", "ORG", 2, 4), (1, "小明", "ORG", 5, 7)}
+    assert mentions.annotate(news, mentions.known_names(names.limit(0))).count() == 0
+    with pytest.raises(ValueError):
+        mentions.known_names(names, 1)

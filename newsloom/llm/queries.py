@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import canonical, codes, leaks, main_text, names, near_duplicates, packing, repeated_lines, sentences, spans, stories
+from . import canonical, codes, leaks, main_text, names, near_duplicates, packing, pages, repeated_lines, sentences, spans, stories
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +117,25 @@ def _folded_sql(table: str, key: str) -> str:
     return f"(SELECT {key} AS id, array_to_string(list_transform(string_split(nfc_normalize(text), ''), lambda c: coalesce(map({keys}, {values})[c], c)), '') AS t FROM {table} WHERE text IS NOT NULL)"
 
 
+def _lines_sql() -> str:
+    """(company_id, idx, line): the lines of the pages, split, freed of tags and decoded in SQL."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    inside = r"""(?:[^<>"'=]|=\s*(?:"[^"]*"|'[^']*')|["'=])*"""
+    unseen = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript"))
+    block = rf"""(?is)</?(?:{"|".join(pages.BLOCK_TAGS)})(?:[^\w<>"'=-]{inside})?(?:>|\z)"""
+    tag = rf"(?is)<(?:/?[a-zA-Z]|[!?]){inside}(?:>|\z)"
+    names = {f"&{k}": v for k, v in html.entities.html5.items()}
+    keys, values = ("[" + ", ".join(map(quoted, xs)) + "]" for xs in (names, names.values()))
+    return f"""(WITH seen AS (SELECT DISTINCT company_id, idx, regexp_replace(raw_xml, {quoted(unseen)}, '', 'g') AS t FROM raw_news WHERE raw_xml IS NOT NULL AND company_id IS NOT NULL AND idx IS NOT NULL),
+        bodies AS (SELECT company_id, idx, regexp_replace(CASE WHEN regexp_matches(t, '(?is)<body\\b[^>]*>') THEN regexp_replace(t, '(?is)^.*?<body\\b[^>]*>', '') ELSE regexp_replace(t, '(?is)<head\\b.*?</head\\s*>', '', 'g') END, '(?is)</body\\s*>.*$', '') AS t FROM seen),
+        cut AS (SELECT company_id, idx, unnest(string_split(regexp_replace(t, {quoted(block)}, chr(1), 'g'), chr(1))) AS t FROM bodies),
+        bare AS (SELECT DISTINCT company_id, idx, regexp_replace(t, {quoted(tag)}, '', 'g') AS t FROM cut),
+        decoded AS (SELECT company_id, idx, CASE WHEN NOT contains(t, '&') THEN t ELSE array_to_string(list_transform(regexp_extract_all(t, '&#?[0-9A-Za-z]+;?|[^&]+|&'), lambda x:
+          CASE WHEN regexp_matches(x, '^&#[xX][0-9A-Fa-f]+;?$') THEN chr(CAST('0x' || regexp_extract(x, '[xX]([0-9A-Fa-f]+)', 1) AS INTEGER)) WHEN regexp_matches(x, '^&#[0-9]+;?$') THEN chr(CAST(regexp_extract(x, '[0-9]+') AS INTEGER))
+          ELSE coalesce(map({keys}, {values})[x], x) END), '') END AS t FROM bare)
+        SELECT DISTINCT company_id, idx, trim(regexp_replace(t, '[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')) AS line FROM decoded)"""
+
+
 def _shared_sql() -> str:
     n = leaks.MIN_SHARED
     windows = lambda table, key: f"(SELECT DISTINCT id, md5(substr(t, pos, {n})) AS w FROM (SELECT id, t, unnest(range(1, length(t) - {n} + 2)) AS pos FROM {_folded_sql(table, key)} WHERE length(t) >= {n}))"
@@ -122,6 +143,20 @@ def _shared_sql() -> str:
 
 
 ORACLE = {
+    "p1_groups": f"""WITH RECURSIVE members AS (SELECT DISTINCT id, regexp_replace(canonical, '\\s', '', 'g') AS body FROM ({_CANONICAL}) WHERE length(regexp_replace(canonical, '\\s', '', 'g')) >= {near_duplicates.RUN}),
+        docs AS (SELECT DISTINCT body FROM members),
+        grams AS (SELECT DISTINCT body, substr(body, pos, {near_duplicates.RUN}) AS gram FROM (SELECT body, unnest(range(1, length(body) - {near_duplicates.RUN} + 2)) AS pos FROM docs)),
+        sizes AS (SELECT body, count(*) AS n FROM grams GROUP BY body),
+        shared AS (SELECT a.body AS a, b.body AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.body <> b.body GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared s JOIN sizes x ON x.body = s.a JOIN sizes y ON y.body = s.b WHERE s.n >= {near_duplicates.SIMILARITY} * (x.n + y.n - s.n)),
+        edges AS (SELECT a, b FROM links UNION SELECT x.body, y.body FROM members x JOIN members y USING (id)),
+        reach AS (SELECT body AS a, body AS b FROM docs UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+        groups AS (SELECT r.a AS body, min(m.id) AS group_id FROM reach r JOIN members m ON m.body = r.b GROUP BY r.a),
+        degrees AS (SELECT a AS body, count(*) AS n FROM links GROUP BY a)
+        SELECT m.id AS news_id, min(g.group_id) AS group_id, max(coalesce(d.n, 0)) AS links FROM members m JOIN groups g USING (body) LEFT JOIN degrees d USING (body) GROUP BY m.id""",
+    "p2_found": f"""WITH outlets AS (SELECT company_id, count(DISTINCT idx) AS pages FROM raw_news WHERE raw_xml IS NOT NULL GROUP BY company_id)
+        SELECT company_id, line FROM {_lines_sql()} JOIN outlets USING (company_id) WHERE line <> '' GROUP BY company_id, line, pages
+        HAVING count(DISTINCT idx) >= {repeated_lines.LEAST_PAGES} AND count(DISTINCT idx) >= {repeated_lines.LEAST_SHARE} * pages""",
     "p5_found": f"SELECT DISTINCT id AS news_id, field FROM ({_FIELDS}) WHERE affected",
     "p5_canonical": f"SELECT DISTINCT id AS news_id, field, canonical, affected FROM ({_FIELDS})",
     "p9_found": _shared_sql(),

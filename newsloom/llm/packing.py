@@ -2,14 +2,15 @@
 
 Sizes are counted once in tokens. For each capacity a dynamic programme over the global histogram of
 sizes chooses the bucket boundaries that minimise padding (a size counts as its bucket's upper
-boundary), and token-budget batches form from the buckets. A container's room that its bucket can't use
-is open to smaller buckets, and its budget counts true tokens, so the padding itself is used as well.
+boundary), and token-budget batches form from the buckets: the boundary says which bucket a container takes from. Room that a
+bucket can't use is open to smaller buckets, and the budget counts true tokens, so the padding itself is used as well.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -111,39 +112,33 @@ def best_boundaries(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKET
 def pack(tokens: np.ndarray, bucket: np.ndarray, capacity: int) -> np.ndarray:
     """Container numbers for items of at most ``capacity`` tokens, whose buckets are numbered by ascending size.
 
-    A container opens with the largest bucket that has items left, and takes its largest item that fits into the room, or
-    that of the next smaller bucket with one. Items of a size wait in a row; a size without items points to
-    the next smaller one, so the time is linear in the items."""
+    An item counts as the upper boundary of its bucket: a container takes an item of the largest bucket that fits into its
+    room by this measure, and is then charged the item's true tokens. When no bucket fits any more, or an item fills the room to the
+    last token, the room goes to the largest item that fits of the bucket whose boundary is beyond it. So no container ends while an item is left that fits."""
     order = np.lexsort((np.arange(len(tokens)), tokens, bucket))
-    sizes, first, many = np.unique(tokens[order], return_index=True, return_counts=True)
-    left, items = dict(zip(sizes.tolist(), many.tolist())), order.tolist()
-    behind = dict(zip(sizes.tolist(), (first + many).tolist()))
-    # the largest size up to each room that may have items
-    fits = np.zeros(capacity + 1, np.int64)
-    fits[sizes] = sizes
-    fits = np.maximum.accumulate(fits).tolist()
+    _, first, many = np.unique(bucket[order], return_index=True, return_counts=True)
+    waiting = [order[x : x + n].tolist() for x, n in zip(first, many)]
+    size = tokens.tolist()
+    bounds = [size[w[-1]] for w in waiting]
     out = np.zeros(len(tokens), np.int64)
-
-    def largest(room: int) -> int:
-        size, path = fits[room], []
-        while size and not left[size]:
-            path.append(size)
-            size = fits[size - 1]
-        for p in path:
-            fits[p] = size
-        fits[room] = size
-        return size
-
-    container = -1
-    while size := largest(capacity):
+    left, container = len(tokens), -1
+    while left:
         container += 1
         room = capacity
-        while size:
-            left[size] -= 1
-            behind[size] -= 1
-            out[items[behind[size]]] = container
-            room -= size
-            size = largest(room)
+        while True:
+            beyond = bisect_right(bounds, room)
+            k = next((k for k in range(beyond - 1, -1, -1) if waiting[k]), -1)
+            held = waiting[beyond] if beyond < len(waiting) else []
+            i = bisect_right(held, room, key=size.__getitem__)
+            if i and (k < 0 or size[held[i - 1]] == room):
+                item = held.pop(i - 1)
+            elif k >= 0:
+                item = waiting[k].pop()
+            else:
+                break
+            out[item] = container
+            room -= size[item]
+            left -= 1
     return out
 
 

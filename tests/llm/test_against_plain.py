@@ -248,6 +248,24 @@ def test_packing_fills():
     assert sorted(np.bincount(container)) == sorted(np.bincount(container)) and (np.bincount(container) > 0).all()
 
 
+def test_boundaries_decide_the_packing():
+    gen = np.random.default_rng(6)
+    tokens = gen.integers(1, 257, 800)
+    found = []
+    for buckets in (1, 8, 128):
+        bounds = packing.best_boundaries(*np.unique(tokens, return_counts=True), buckets)
+        container = packing.pack(tokens, np.searchsorted(bounds, tokens), 256)
+        held = np.bincount(container, tokens)
+        assert held.max() <= 256 and (held > 0).all()
+        # a container ends only when nothing fits that is left
+        assert all(tokens[container > c].min(initial=257) > 256 - held[c] for c in range(len(held)))
+        found.append(container.tolist())
+    assert found[0] != found[1]
+    # an item of 4 counts as 6 in the bucket of 6, so one of 3 goes first; in a bucket of its own it counts as 4
+    assert packing.pack(np.array([6, 4, 3]), np.array([1, 1, 0]), 11).tolist() == [0, 1, 0]
+    assert packing.pack(np.array([6, 4, 3]), np.array([2, 1, 0]), 11).tolist() == [0, 0, 1]
+
+
 def test_tokens_are_those_of_the_public_pattern():
     public = pytest.importorskip("public_tokenizers")
     import base64
